@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heddle.llm import bpe, mojibake, packing, splitting
+from heddle.llm import bpe, forest, mojibake, packing, splitting
 from heddle.session import keep, table
 
 
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "code_nodes", "node_id", "embedding")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return forest.similar_pairs(_embedded(spark, d), k=10, at_least=0.95)
+
+
+def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of each vector (cosine 0.8 or more) with the neighbour's summary."""
+    n = forest.nearest(_embedded(spark, d), k=10, at_least=0.8)
+    notes = table(spark, d, "code_nodes", "node_id", "smart_content").where("smart_content is not null")
+    notes = notes.groupBy(F.col("node_id").alias("neighbor_id")).agg(F.min("smart_content").alias("smart_content"))
+    return n.join(notes, "neighbor_id", "left").select("node_id", "vid", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"), "smart_content")
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(table(spark, d, "chunk_items"), table(spark, d, "code_nodes", "node_id", "content_type"), table(spark, d, "chunk_limits"))
 
@@ -55,6 +71,8 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_neighbors": p5_neighbors,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
@@ -66,6 +84,13 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p5_found": """
+with v as (select distinct node_id, vec from (select node_id, unnest(embedding) as vec from code_nodes)
+  where len(vec) > 0 and list_sum(list_transform(vec, lambda x: abs(x))) > 0),
+s as (select a.node_id as a, a.vec as va, b.node_id as b, max(list_cosine_similarity(a.vec, b.vec)) as sim
+  from v a join v b on a.node_id <> b.node_id and len(a.vec) = len(b.vec) group by all),
+r as (select *, row_number() over (partition by a, va order by sim desc, b) as r from s where sim >= 0.95)
+select distinct least(a, b) as node_id_a, greatest(a, b) as node_id_b from r where r <= 10""",
     "p7_found": """
 with kinds as (select node_id, min(content_type) as kind from code_nodes group by 1)
 select distinct i.node_id, i.chunk_index, i.is_smart_content::int as smart
