@@ -4,10 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heddle.llm import bpe, forest, mojibake, packing, splitting
+from heddle.llm import bpe, docpairs, forest, mojibake, parsing, packing, splitting
 from heddle.session import keep, table
 
 
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """(repo, source_file, language, content) of each record."""
+    return table(spark, d, "symbols").select("repo", F.col("source.file").alias("source_file"), F.col("source.language").alias("language"), F.col("root.content").alias("content"), "record_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.broken_files(_sources(spark, d)).where("broken").select("source_file").distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of broken files per repository and language, with totals."""
+    return parsing.rates(parsing.broken_files(_sources(spark, d)))
+
+
+def _documented(spark: SparkSession, d: str) -> DataFrame:
+    last = _sources(spark, d).where("source_file is not null").groupBy("source_file").agg(F.max_by(F.struct("repo", "language", "content"), "record_id").alias("r"))
+    return docpairs.documented(last.select("r.repo", "source_file", "r.language", "r.content"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _documented(spark, d).where("own").select("source_file", "qualified_name").distinct()
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code, signature and documentation, own or inherited."""
+    return _documented(spark, d)
+
+
 def _embedded(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "code_nodes", "node_id", "embedding")
 
@@ -71,6 +99,10 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
+    "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
     "p5_found": p5_found,
     "p5_neighbors": p5_neighbors,
     "p7_found": p7_found,
