@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heddle.llm import bpe, docpairs, forest, mojibake, parsing, packing, splitting
+from heddle.llm import bpe, docpairs, forest, mojibake, origin, parsing, packing, splitting
 from heddle.session import keep, table
 
 
@@ -52,6 +52,19 @@ def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return n.join(notes, "neighbor_id", "left").select("node_id", "vid", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"), "smart_content")
 
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "code_nodes").where("category = 'file'").select("repo", "file_path", "language", "content")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return origin.classify(_files(spark, d)).where("kind is not null").select("file_path")
+
+
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its kind (null: written by hand) and the scores behind it."""
+    return origin.classify(_files(spark, d))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(table(spark, d, "chunk_items"), table(spark, d, "code_nodes", "node_id", "content_type"), table(spark, d, "chunk_limits"))
 
@@ -105,6 +118,8 @@ QUERIES = {
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
     "p5_neighbors": p5_neighbors,
+    "p6_found": p6_found,
+    "p6_kinds": p6_kinds,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
