@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heddle.llm import bpe, docpairs, forest, mojibake, origin, parsing, packing, splitting
+from heddle.llm import bpe, docpairs, forest, mojibake, origin, packing, parsing, secrets, splitting
 from heddle.session import keep, table
 
 
+def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes = table(spark, d, "code_nodes").where("node_id is not null").select(F.col("node_id").alias("record_id"), F.col("file_path").alias("path"), "content")
+    configs = table(spark, d, "config_samples").select(F.col("config_id").cast("string").alias("record_id"), F.col("file_path").alias("path"), F.col("sample.auth.jwt.secret").alias("value"))
+    return nodes, configs
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find(*_texts(spark, d)).select("source_table", "record_id", "line_no").distinct()
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Each record that holds a credential, with it masked."""
+    return secrets.find(*_texts(spark, d), masked=True).select("source_table", "record_id", "masked").distinct()
+
+
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """(repo, source_file, language, content) of each record."""
     return table(spark, d, "symbols").select("repo", F.col("source.file").alias("source_file"), F.col("source.language").alias("language"), F.col("root.content").alias("content"), "record_id")
@@ -112,6 +127,8 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_masked": p1_masked,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p4_found": p4_found,

@@ -1,0 +1,488 @@
+"""Credentials embedded in source code and configuration.
+
+Candidates are the places where a value could be one: known token shapes, passwords in
+URLs and connection strings, headers, defaults of environment lookups, literals and bare
+values behind a name, also when joined from parts or encoded.  Each is described by how
+unlikely its letters are under a character Markov model counted over all texts, by its
+shape, by the words of the name before it and by its path.  Logistic regression, trained
+on candidates that pattern rules label weakly and calibrated on held-out ones, gives a
+probability; candidates from the threshold on are credentials and can be masked.
+
+Defined cases: null and empty texts hold none; repeated rows count once a record; very
+long lines are read whole; a key block counts at its BEGIN line and is masked up to its
+END line or the end of the text; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+#: Candidates the regression is trained on; the letter model counts every text.
+TRAINING_ROWS = 30_000
+HELD_OUT = 0.3
+#: A literal below its name that is this long is data, unless its shape is a token's.
+LONG_PART = 60
+#: Lines a worker remembers.
+REMEMBERED = 200_000
+
+# Shapes of tokens that name their issuer.
+KNOWN = re.compile(
+    r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[\w-]{10,}|(?:sk|rk)_(?:live|test)_\w{16,}|(?:AKIA|ASIA)[0-9A-Z]{16}\b|AIza[\w-]{30,}"
+    r"|SG\.[\w-]{16,}\.[\w-]{16,}|npm_[A-Za-z0-9]{30,}|pypi-[\w-]{20,}|ya29\.[\w-]{20,}|hf_[A-Za-z0-9]{20,}|dop_v1_[0-9a-f]{40,}|AGE-SECRET-KEY-1\w{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})"
+)
+BLOCK = re.compile(r"-----BEGIN (?!ENCRYPTED)(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# Words of names that hold credentials, and words that turn a name into something about one.
+SECRET_WORDS = frozenset("password passwd passwort pwd pass pw passphrase secret secrets token apikey credential credentials cred creds auth authorization bearer signature dsn connection conn login".split())
+KEY_KINDS = frozenset("api access signing secret private service auth client master encryption account deploy shared session webhook".split())
+ABOUT_WORDS = frozenset("name names hint field fields type kind ref reference path file filename url uri endpoint label title policy length count limit size ttl expires expiry hash etag checksum digest revision public alphabet icon integrity placeholder prompt help description message error scope audience issuer algorithm id ids env var variable prefix suffix header_name format regex pattern".split())
+STOCK = frozenset("changeme change_me change-me changeit replaceme replace_me replace-me password passwd secret token admin root test guest example dummy sample default none null nil true false undefined todo tbd fixme xxx redacted hidden masked empty placeholder bearer basic string your-secret-here your_secret_here secret123 password123 hunter2 letmein qwerty 123456 12345678 foobar foo bar".split())
+REFERENCE = re.compile(r"^\$\{?[A-Za-z_][\w.]*\}?$|^\$\{[^}]*\}$|\{\{.*\}\}|^\$\([^)]*\)$|^%[A-Za-z_]\w*%$|^<[^>]*>$|^\[[^\]]*\]$|^(?:vault|env|file|ssm|arn|secret|secrets|secretsmanager|op|keychain|keyring|kms|gcp|aws|azure|sops|ref|configmap)(?::|://)|^ENC[\[(]|^enc:|^AQICAH|^\{cipher\}|^!(?:vault|secret|ENV)|^#\{.*\}$|^@\w+@$", re.I)
+MASK = re.compile(r"^(.)\1{3,}$|^[*•x.X#_-]{4,}$|\*{4,}|x{6,}|\.\.\.$", re.I)
+TEMPLATE = re.compile(r"your[-_ ]|[-_ ]here$|replace|change[-_ ]?me|insert|example|paste|<|>|\bdummy\b|placeholder", re.I)
+
+# Letters that a line with a candidate holds, in lower case.
+SIGNS = ["pass", "pwd", "pw:", "pw =", "pw=", "secret", "token", "key", "auth", "cred", "bearer", "basic ", "://", "-----begin", "login", "-u ", "--user", "dsn", "conn", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat-", "xox", "k_live_", "k_test_", "akia", "asia", "aiza", "sg.", "npm_", "pypi-", "ya29.", "hf_", "dop_v1_", "eyj", ":-", "getenv", "environ", "env.", "value"]
+_NAME = r"[A-Za-z_][\w.-]*"
+_URL = re.compile(r"\b[a-z][a-z0-9+.-]*://([^/\s:@\"'`]*):([^/\s@\"'`]+)@", re.I)
+_FIELD = re.compile(r"(?:^|[;\s\"'?&])(password|pwd|passwd|accountkey|sharedaccesskey|api[_-]?key|access[_-]?token|client[_-]?secret|sig)\s*=\s*([^;\"'`\s&]{4,})", re.I)
+_SCHEME = re.compile(r"\b(bearer|basic|token)\s+([A-Za-z0-9._~+/=-]{8,})", re.I)
+_USER = re.compile(r"(?:^|\s)(?:-u|--user|--proxy-user)[ =]([\"']?)([^\s:\"']+):([^\s\"']+)\1")
+_PAIR = re.compile(r"\b(\w*(?:auth|login|credential|authenticate|connect|signin|sign_in)\w*)\s*(?:=\s*)?\(\s*[\"'`][^\"'`]*[\"'`]\s*,\s*[\"'`]([^\"'`]+)[\"'`]", re.I)
+_DEFAULT = re.compile(r"(?:getenv|environ\.get|env\.get|env|lookup_?env\w*|getOrDefault|get_or)\(\s*[\"'](\w+)[\"']\s*,\s*[\"']([^\"']*)[\"']|(?:process\.env|import\.meta\.env)\.(\w+)\s*(?:\|\||\?\?)\s*[\"'`]([^\"'`]*)[\"'`]|\$\{(\w+):?[-=]([^}]*)\}", re.I)
+_LITERAL = re.compile(
+    rf"(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)\]?\s*(?::\s*&?(?:'static )?[\w<>\[\]]+\s*=(?!=)|:=|=>|=(?!=)|:)\s*(?:[brf]|String::from\(|concat!\(|new String\(|\()?\s*(?P<s>\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`)(?P<more>(?:\s*(?:\+|,|\.\.|\.)?\s*(?:\"[^\"\n]*\"|'[^'\n]*'))*)"
+)
+_INDEXED = re.compile(r"\[[\"']([\w-]+)[\"']\]\s*=\s*([\"'])([^\"'\n]*)\2")
+_BARE = re.compile(rf"(?:^|[\s{{,(/#-])(?P<name>{_NAME})\s*(?P<op>[:=])\s*(?P<v>[^\s\"'`,;(){{}}\[\]<>]{{5,}})(?=\s*(?:$|[,;#/]))")
+_SAID = re.compile(r"\b(password|passwd|pw|passphrase|passcode)\s+(?:is|was)\s*:?\s*[\"'`]?([^\s\"'`.,;]{6,})", re.I)
+_ENV_NAME = re.compile(r"^\s*-?\s*name\s*:\s*[\"']?([A-Za-z_][\w.-]*)[\"']?\s*$")
+_ENV_VALUE = re.compile(r"^\s*value\s*:\s*[\"']?([^\s\"'#]+)[\"']?\s*$")
+_OPEN_NAME = re.compile(rf"({_NAME})\s*(?:=|:=|:)\s*[(\[\\]?\s*$")
+_PART = re.compile(r"^\s*\(?\s*([\"'])([^\"'\n]+)\1")
+_STRINGS = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """A value that may be a credential: kind of place, name before it, value and span in the line."""
+
+    kind: str
+    name: str
+    value: str
+    start: int
+    end: int
+
+
+def name_words(name: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(name)]
+
+
+def names_secret(name: str) -> bool:
+    words = name_words(name)
+    return any(w in SECRET_WORDS for w in words) or ("key" in words and any(w in KEY_KINDS for w in words)) or any(w.endswith(("password", "secret", "apikey", "passwd")) for w in words)
+
+
+def names_about(name: str) -> bool:
+    words = name_words(name)
+    return bool(words) and (words[-1] in ABOUT_WORDS or words[0] in ("public",) or "hash" in words or ("key" in words and "name" in words))
+
+
+def candidates(line: str, before: str | None) -> list[Candidate]:
+    """Candidates of one line; ``before``: the line above it, for names that stand there."""
+    out: list[Candidate] = []
+    taken: list[tuple[int, int]] = []
+
+    def add(kind: str, name: str, value: str, start: int, end: int) -> None:
+        if value and not any(a < end and start < b for a, b in taken):
+            taken.append((start, end))
+            out.append(Candidate(kind, name, value, start, end))
+
+    if "-----BEGIN" in line and (m := BLOCK.search(line)):
+        add("block", "private_key", m.group(), m.start(), m.end())
+    for m in _URL.finditer(line):
+        add("url", "url_password", m.group(2), m.start(2), m.end(2))
+    for m in _DEFAULT.finditer(line):
+        k = next(i for i in (1, 3, 5) if m.group(i) is not None)
+        add("default", m.group(k), m.group(k + 1), m.start(k + 1), m.end(k + 1))
+    for m in _FIELD.finditer(line):
+        if m.group(1).lower() not in ("sig",):
+            add("field", m.group(1), m.group(2), m.start(2), m.end(2))
+    for m in _SCHEME.finditer(line):
+        if m.group(1).lower() != "token" or any(c.isdigit() for c in m.group(2)):
+            add(m.group(1).lower(), "authorization", m.group(2), m.start(2), m.end(2))
+    for m in _USER.finditer(line):
+        add("user", "login_password", m.group(3), m.start(3), m.end(3))
+    for m in _PAIR.finditer(line):
+        add("pair", m.group(1), m.group(2), m.start(2), m.end(2))
+    for m in _INDEXED.finditer(line):
+        add("literal", m.group(1), m.group(3), m.start(3), m.end(3))
+    for m in _LITERAL.finditer(line):
+        value = m.group("s")[1:-1]
+        more = "".join(a or b or c for a, b, c in _STRINGS.findall(m.group("more"))) if m.group("more") and re.match(r"\s*(?:\+|\.\.|\.|[\"'])|.*concat!", m.group("more") if "concat!" not in line else "concat!") else ""
+        if more:
+            add("joined", m.group("name"), value + more, m.start("s") + 1, m.end("more") - 1)
+        else:
+            add("literal", m.group("name"), value, m.start("s") + 1, m.end("s") - 1)
+    for m in KNOWN.finditer(line):
+        add("known", "", m.group(), m.start(), m.end())
+    for m in _BARE.finditer(line):
+        if names_secret(m.group("name")):
+            add("bare", m.group("name"), m.group("v"), m.start("v"), m.end("v"))
+    for m in _SAID.finditer(line):
+        add("said", m.group(1), m.group(2), m.start(2), m.end(2))
+    if before is not None:
+        if (m := _ENV_VALUE.match(line)) and (n := _ENV_NAME.match(before)):
+            add("bare", n.group(1), m.group(1), m.start(1), m.end(1))
+        elif (m := _PART.match(line)) and (n := _OPEN_NAME.search(before)):
+            add("literal", n.group(1), m.group(2), m.start(2), m.end(2))
+    return out
+
+
+def lines_with_signs(text: str) -> list[tuple[int, str, str | None]]:
+    """(line number, line, line above where it names the value) of the lines worth a look."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = text  # a letter whose lower case has another length: only exact signs count
+    marks: set[int] = set()
+    for sign in SIGNS:
+        at = low.find(sign)
+        while at >= 0:
+            end = text.find("\n", at)
+            marks.add(text.rfind("\n", 0, at) + 1)
+            at = low.find(sign, end + 1) if end >= 0 else -1
+    out = []
+    number, last = 1, 0
+    for start in sorted(marks):
+        number += text.count("\n", last, start)
+        last = start
+        end = text.find("\n", start)
+        line = text[start : end if end >= 0 else len(text)]
+        above = None
+        if line.lstrip()[:5] == "value" and start:
+            above = text[text.rfind("\n", 0, start - 1) + 1 : start - 1]
+        out.append((number, line, above))
+        if end >= 0 and line.rstrip()[-1:] in ("=", "(", "[", ":", "\\") and _OPEN_NAME.search(line):
+            stop = text.find("\n", end + 1)
+            follow = text[end + 1 : stop if stop >= 0 else len(text)]
+            if (m := _PART.match(follow)) and (len(m.group(2)) < LONG_PART or KNOWN.search(follow)):
+                out.append((number + 1, follow, line))
+    return out
+
+
+# ---------------------------------------------------------------- letter model
+
+_CLASS = np.full(256, 63, "uint8")
+for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
+    _CLASS[ord(_c)] = _i
+    _CLASS[ord(_c.upper())] = _i + 26
+for _c in "0123456789":
+    _CLASS[ord(_c)] = 52
+for _i, _c in enumerate(" _-./:\"'="):
+    _CLASS[ord(_c)] = 53 + _i
+_CLASS[10] = 62
+LETTERS = 64
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """Counts of letter triples over all texts."""
+    out = np.zeros(LETTERS**3, "int64")
+    for text in texts:
+        raw = text.encode("latin-1", "replace")
+        for k in range(0, len(raw), 1 << 20):
+            c = _CLASS[np.frombuffer(raw[max(0, k - 2) : k + (1 << 20)], "uint8")].astype("int32")
+            if len(c) > 2:
+                out += np.bincount((c[:-2] << 12) + (c[1:-1] << 6) + c[2:], minlength=LETTERS**3)
+    return out
+
+
+class Letters:
+    """Bits of a letter after its two predecessors."""
+
+    def __init__(self, counts: np.ndarray):
+        n = counts.reshape(LETTERS, LETTERS, LETTERS).astype(float)
+        bi = n.sum(0) + 0.05
+        bi /= bi.sum(1, keepdims=True)
+        self.bits = (-np.log2((n + 6 * bi[None]) / (n.sum(2, keepdims=True) + 6))).reshape(-1).astype("float32")
+
+    def mean(self, value: str) -> float:
+        c = _CLASS[np.frombuffer(("\"\"" + value + "\"").encode("latin-1", "replace"), "uint8")].astype("int32")
+        return float(self.bits[(c[:-2] << 12) + (c[1:-1] << 6) + c[2:]].mean())
+
+
+# ---------------------------------------------------------------- features and weak labels
+
+
+def decoded(value: str) -> str | None:
+    """The text behind a Base64 value, if it is one."""
+    if len(value) < 8 or not re.fullmatch(r"[A-Za-z0-9+/_-]+=*", value):
+        return None
+    try:
+        raw = base64.b64decode(value.replace("-", "+").replace("_", "/") + "=" * (-len(value.rstrip("=")) % 4 if not value.endswith("=") else 0), validate=True)
+        text = raw.decode("ascii")
+    except (binascii.Error, ValueError):
+        return None
+    return text if text and text.isprintable() else None
+
+
+def no_credential(c: Candidate) -> bool:
+    """Values that state that they are none: references, masks, placeholders, stock dummies."""
+    v = c.value.strip()
+    low = v.lower()
+    return len(v) < 4 or low in STOCK or bool(REFERENCE.search(v) or MASK.search(v) or TEMPLATE.search(v)) or "${" in v or "{{" in v or low == c.name.lower() or (c.kind == "basic" and ":" not in (decoded(v) or ":"))
+
+
+def _password_like(v: str) -> bool:
+    kinds = sum(bool(re.search(p, v)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return len(v) >= 6 and " " not in v and (kinds >= 3 or (kinds >= 2 and bool(re.search("[0-9]", v))) or (kinds >= 2 and len(v) >= 9 and not re.fullmatch(r"[a-z]+(?:[-_. ][a-z]+)*|[a-z]+(?:[A-Z][a-z]+)*|(?:[A-Z][a-z]+)+|[A-Z]+(?:_[A-Z]+)*", v)))
+
+
+def weak_label(c: Candidate) -> int | None:
+    """1 or 0 where the pattern rules agree, None where they leave it open."""
+    if no_credential(c):
+        return 0
+    if c.kind in ("block", "known") or KNOWN.search(c.value):
+        return 1
+    if c.kind in ("url", "field", "bearer", "basic", "user", "pair") and (_password_like(c.value) or c.kind == "basic"):
+        return 1
+    if c.kind == "config":
+        return 1  # the field is the secret itself
+    secret, about = names_secret(c.name), names_about(c.name)
+    if about or not secret:
+        return 0
+    if _password_like(c.value):
+        return 1 if c.kind != "bare" or not re.fullmatch(r"[A-Za-z_][\w]*(?:\.\w+)*(?:::\w+)*", c.value) or re.search(r"\d", c.value) else None
+    if " " in c.value or re.fullmatch(r"[a-z]+", c.value):
+        return 0
+    return None
+
+
+KINDS = ["block", "known", "url", "field", "bearer", "basic", "user", "pair", "default", "literal", "joined", "bare", "said", "config", "token"]
+N_FEATURES = 34 + len(KINDS)
+
+
+def features(c: Candidate, path: str, letters: Letters) -> np.ndarray:
+    v = c.value.strip()
+    n = max(1, len(v))
+    inner = decoded(v)
+    plain = inner if inner is not None and names_secret(c.name) else v
+    freq = np.bincount(np.frombuffer(v.encode("latin-1", "replace"), "uint8"), minlength=256) / n
+    entropy = float(-(freq[freq > 0] * np.log2(freq[freq > 0])).sum())
+    digits, upper, lower = sum(x.isdigit() for x in v) / n, sum(x.isupper() for x in v) / n, sum(x.islower() for x in v) / n
+    words = name_words(c.name)
+    hexa = bool(re.fullmatch(r"[0-9a-fA-F]{16,}", v))
+    known = bool(KNOWN.search(v))
+    low = path.lower()
+    f = [
+        1.0, letters.mean(v) / 5, letters.mean(plain) / 5, entropy / 4, min(n, 64) / 32, digits, upper, lower, 1 - digits - upper - lower,
+        known, hexa, inner is not None, _password_like(v), _password_like(plain), " " in v, v.count(" ") / 4,
+        names_secret(c.name), names_about(c.name), names_secret(c.name) and not names_about(c.name), bool(words) and words[-1] in SECRET_WORDS, any(w in ("password", "passwd", "pwd", "pw", "passphrase", "pass") for w in words),
+        bool(REFERENCE.search(v)), bool(MASK.search(v)), bool(TEMPLATE.search(v)), v.lower() in STOCK, no_credential(c),
+        bool(re.fullmatch(r"[a-z]+(?:[-_ .][a-z]+)*", v)), bool(re.fullmatch(r"[a-z]+(?:-[a-z]+)+\d+", v)), bool(re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+|::\w+|\(\))*", v)) and not known and digits == 0,
+        known or (names_secret(c.name) and not names_about(c.name) and _password_like(plain) and not no_credential(c)), (known or c.kind in ("url", "field", "bearer", "basic", "user", "pair")) and not no_credential(c),
+        low.endswith((".env", ".yaml", ".yml", ".toml", ".json", ".tf", "dockerfile")), "test" in low or "fixture" in low or "example" in low, "config" in low or "deploy" in low,
+    ]
+    return np.array([*map(float, f), *(float(c.kind == k) for k in KINDS)])
+
+
+# ---------------------------------------------------------------- regression
+
+
+@dataclass
+class Regression:
+    weights: np.ndarray
+    slope: float
+    offset: float
+    threshold: float
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * (x @ self.weights) + self.offset)))
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - y) + ridge * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(h, g)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Regression:
+    """Fit on one part, calibrate slope, offset and threshold on the held-out part."""
+    order = np.random.default_rng(3).permutation(len(y))
+    cut = int(len(y) * (1 - HELD_OUT))
+    a, b = order[:cut], order[cut:]
+    if len(set(y[a])) < 2:
+        return Regression(np.zeros(x.shape[1]), 1.0, -10.0, 0.5)
+    w = _newton(x[a], y[a], ridge)
+    if len(set(y[b])) < 2:
+        return Regression(w, 1.0, 0.0, 0.5)
+    z = np.stack([x[b] @ w, np.ones(len(b))], 1)
+    slope, offset = _newton(z, y[b], 1e-3)
+    p = 1 / (1 + np.exp(-(slope * z[:, 0] + offset)))
+    tries = np.arange(0.1, 0.95, 0.05)
+    f1 = [2 * (y[b] * (p >= t)).sum() / max(1, y[b].sum() + (p >= t).sum()) for t in tries]
+    best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
+    return Regression(w, float(slope), float(offset), float(tries[best[len(best) // 2]]))
+
+
+class Finder:
+    """Credentials of texts under a trained model; lines already seen are remembered."""
+
+    def __init__(self, letters: Letters, model: Regression):
+        self.letters, self.model = letters, model
+        self.memory: dict[tuple[str, str], list[tuple[int, int, float]]] = {}
+
+    def line(self, line: str, before: str | None, path: str) -> list[tuple[int, int, float]]:
+        found = candidates(line, before)
+        if not found:
+            return []
+        p = self.model.probability(np.stack([features(c, path, self.letters) for c in found]))
+        return [(c.start, c.end, float(q)) for c, q in zip(found, p) if q >= self.model.threshold]
+
+    def text(self, text: str, path: str) -> list[tuple[int, int, int, float]]:
+        """(line number, start and end in the line, probability) of each credential."""
+        out = []
+        suffix = path.rsplit("/", 1)[-1].rsplit(".", 1)[-1]
+        for number, line, above in lines_with_signs(text):
+            key = (line if above is None else above + "\n" + line, suffix)
+            got = self.memory.get(key)
+            if got is None:
+                if len(self.memory) > REMEMBERED:
+                    self.memory.clear()
+                got = self.memory[key] = self.line(line, above, path)
+            out += [(number, *g) for g in got]
+        return out
+
+    def config(self, value: str, path: str) -> float:
+        """Probability that a whole configuration value is a credential."""
+        m = _DEFAULT.search(value)
+        inner = Candidate("default", "jwt_secret", m.group(6), 0, len(value)) if m and m.group(6) is not None else Candidate("config", "jwt_secret", value.split(":", 1)[1] if re.match(r"^(?:plain|raw|literal|text|string|value|base64|b64|hex):", value) else value, 0, len(value))
+        return float(self.model.probability(features(inner, path, self.letters)[None])[0])
+
+
+def mask(text: str, found: list[tuple[int, int, int, float]]) -> str:
+    """The text with every credential masked; its length and everything else stay."""
+    lines = text.split("\n")
+    for number, start, end, _ in found:
+        line = lines[number - 1]
+        if BLOCK.search(line[start:end]):
+            k = number
+            while k < len(lines) and not _BLOCK_END.search(lines[k]):
+                lines[k] = re.sub(r"[A-Za-z0-9+/=]", "*", lines[k])
+                k += 1
+            continue
+        lines[number - 1] = line[:start] + re.sub(r"[^\"'`\s+,]", "*", line[start:end]) + line[end:]
+    return "\n".join(lines)
+
+
+# ---------------------------------------------------------------- Spark
+
+
+def train(texts: DataFrame, configs: DataFrame | None = None) -> tuple[Letters, Regression]:
+    """Letter model over all texts, regression on weakly labelled candidates.
+
+    texts: (path, content); configs: (path, value).  The counts are added per task and
+    reach the driver as one table of fixed size; so does a sample of TRAINING_ROWS
+    candidates, drawn by hash.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(LETTERS**3, "int64")
+        for batch in batches:
+            total += letter_counts([t for t in batch["content"] if isinstance(t, str)])
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"place": at, "n": total[at]})
+
+    got = texts.select("content").mapInPandas(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(LETTERS**3, "int64")
+    counts[got["place"].to_numpy("int64")] = got["n"].to_numpy("int64")
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: set[tuple] = set()
+            rows = []
+            for path, text in zip(batch["path"], batch["content"]):
+                if isinstance(text, str):
+                    for _, line, above in lines_with_signs(text):
+                        for c in candidates(line, above):
+                            if (key := (c.kind, c.name, c.value)) not in seen:
+                                seen.add(key)
+                                rows.append((path, *key))
+            yield pd.DataFrame(rows, columns=["path", "kind", "name", "value"])
+
+    # labelled rows come from a bounded share of the texts
+    n = texts.count()
+    share = min(1.0, TRAINING_ROWS / max(1, n))
+    some = texts.where(F.pmod(F.xxhash64("path", "content"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = some.select("path", "content").mapInPandas(pick, "path string, kind string, name string, value string").limit(4 * TRAINING_ROWS).toPandas()
+    items = [(r.path or "", Candidate(r.kind, r.name, r.value, 0, len(r.value))) for r in rows.drop_duplicates(["kind", "name", "value"]).itertuples(index=False)]
+    if configs is not None:
+        for r in configs.where("length(value) > 0").limit(TRAINING_ROWS).toPandas().itertuples(index=False):
+            items.append((r.path or "", Candidate("config", "jwt_secret", r.value, 0, len(r.value))))
+    letters = Letters(counts)
+    x, y = [], []
+    for path, c in items:
+        label = weak_label(c)
+        if label is not None:
+            x.append(features(c, path, letters))
+            y.append(label)
+    if not x:
+        return letters, Regression(np.zeros(N_FEATURES), 1.0, -10.0, 0.5)
+    return letters, fit(np.stack(x), np.array(y, float))
+
+
+def find(texts: DataFrame, configs: DataFrame, masked: bool = False) -> DataFrame:
+    """(source_table, record_id, line_no, probability[, masked]) of each credential.
+
+    texts: (record_id, path, content); configs: (record_id, path, value).  With ``masked``
+    one row per record that holds any, with its text redacted.
+    """
+    texts = texts.select("record_id", "path", "content")
+    configs = configs.select("record_id", "path", "value")
+    letters, model = train(texts, configs)
+    shared = texts.sparkSession.sparkContext.broadcast((letters, model))  # fixed size
+    schema = "source_table string, record_id string, line_no int, probability double" + (", masked string" if masked else "")
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = Finder(*shared.value)
+        for batch in batches:
+            rows = []
+            for i, path, text in zip(batch["record_id"], batch["path"], batch["content"]):
+                if isinstance(text, str) and (found := finder.text(text, path or "")):
+                    if masked:
+                        rows.append(("code_nodes", i, min(f[0] for f in found), max(f[3] for f in found), mask(text, found)))
+                    else:
+                        best: dict[int, float] = {}
+                        for f in found:
+                            best[f[0]] = max(f[3], best.get(f[0], 0.0))
+                        rows += [("code_nodes", i, k, p) for k, p in best.items()]
+            yield pd.DataFrame(rows, columns=columns).astype({"line_no": "int32"})
+
+    def scan_configs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = Finder(*shared.value)
+        for batch in batches:
+            rows = []
+            for i, path, value in zip(batch["record_id"], batch["path"], batch["value"]):
+                if isinstance(value, str) and value and (p := finder.config(value, path or "")) >= finder.model.threshold:
+                    m = _DEFAULT.search(value)
+                    hidden = value[: m.start(6)] + "*" * len(m.group(6)) + value[m.end(6) :] if m and m.group(6) else "*" * len(value)
+                    rows.append(("config_samples", i, 1, p, *([hidden] if masked else [])))
+            yield pd.DataFrame(rows, columns=columns).astype({"line_no": "int32"})
+
+    return texts.mapInPandas(scan, schema).unionByName(configs.mapInPandas(scan_configs, schema))
