@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from heddle.session import keep
+from heddle.operators import rounds
 
 
 def versions(nodes: DataFrame) -> DataFrame:
@@ -62,17 +62,14 @@ def ancestors(start: DataFrame, up: DataFrame, most: int = 1000) -> DataFrame:
     on itself ends before it repeats an id.
     """
     step_up = up.select(F.col("node_id").alias("at"), F.col("parent_id").alias("above"))
-    frontier = start.select("node_id", F.col("node_id").alias("cur"), F.array("node_id").alias("seen"))
-    out = None
-    for depth in range(1, most + 1):
-        nxt = frontier.join(step_up, F.col("cur") == F.col("at")).where(~F.array_contains("seen", F.col("above")))
-        nxt = keep(nxt.select("node_id", F.col("above").alias("cur"), F.array_append("seen", F.col("above")).alias("seen"), F.lit(depth).alias("depth")), "up")
-        part = nxt.select("node_id", F.col("cur").alias("ancestor_id"), "depth")
-        out = part if out is None else out.unionByName(part)
-        if nxt.isEmpty():
-            break
-        frontier = nxt.drop("depth")
-    return out
+    first = start.select("node_id", F.col("node_id").alias("cur"), F.array("node_id").alias("seen"), F.lit(0).alias("depth"))
+
+    def step(last: DataFrame) -> DataFrame:
+        nxt = last.join(step_up, F.col("cur") == F.col("at")).where(~F.array_contains("seen", F.col("above")))
+        return nxt.select("node_id", F.col("above").alias("cur"), F.array_append("seen", F.col("above")).alias("seen"), (F.col("depth") + 1).cast("int").alias("depth"))
+
+    done = rounds.union(rounds.walk(first, step, "up", most, single=1))
+    return done.select("node_id", F.col("cur").alias("ancestor_id"), "depth")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

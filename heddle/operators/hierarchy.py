@@ -16,11 +16,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from heddle.operators import rounds
 from heddle.session import keep
 
-#: From this many levels on, the edges not yet reached are written anew, so that
-#: later rounds, whose frontiers are small, no longer scan the whole table.
-RECUT_AFTER = 2
 
 
 def parent_links(nodes: DataFrame, id_col: str = "node_id", parent_col: str = "parent_node_id") -> DataFrame:
@@ -42,43 +40,33 @@ class Levels:
 def walk_levels(links: DataFrame, with_path: bool = True) -> Levels:
     """Walk from the roots downwards, one join a level.
 
-    links: (id, parent).  Each round joins the last frontier with the links on the
+    links: (id, parent).  Each level joins the last frontier with the links on the
     parent; an id has one parent, so no row is met twice and the walk ends by itself.
-    The rounds write their frontier to the shared folder: a round reads only the
-    frontier before it, and the union at the end reads every frontier once.
+    After the first levels the links not yet reached are written anew, so that the later
+    rounds, whose frontiers are small, no longer scan the whole table.
     """
     links = keep(links, "links")
     start = links.where("parent is null").select(
         "id", F.lit(0).alias("depth"), F.col("id").alias("root"), *([F.array("id").alias("path")] if with_path else [])
     )
-    done, rest = [keep(start, "frontier")], links.where("parent is not null")
-    depth = 0
-    while True:
-        last = done[-1].withColumnRenamed("id", "above")
-        step = rest.join(last, rest.parent == last.above).select(
-            rest.id,
-            F.lit(depth + 1).alias("depth"),
-            "root",
-            *([F.concat("path", F.array(rest.id)).alias("path")] if with_path else []),
-        )
-        step = keep(step, "frontier")
-        if step.isEmpty():
-            break
-        depth += 1
-        done.append(step)
-        if depth == RECUT_AFTER:
-            reached = _union(done).select(F.col("id").alias("seen"))
-            rest = keep(rest.join(reached, rest.id == reached.seen, "left_anti"), "rest")
-    levels = _union(done)
-    reached = levels.select(F.col("id").alias("seen"))
-    return Levels(levels, rest.join(reached, rest.id == reached.seen, "left_anti"))
+    start, hanging = keep(start, "roots"), links.where("parent is not null")
 
+    def step_over(rest: DataFrame):
+        def step(last: DataFrame) -> DataFrame:
+            up = last.select(F.col("id").alias("above"), F.col("depth").alias("above_depth"), *(c for c in last.columns if c not in ("id", "depth")))
+            return rest.join(up, rest.parent == F.col("above")).select(
+                "id", (F.col("above_depth") + 1).cast("int").alias("depth"), "root", *([F.concat("path", F.array("id")).alias("path")] if with_path else [])
+            )
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        return step
+
+    def cut(done: list[DataFrame]):
+        reached = rounds.union(done).select(F.col("id").alias("seen"))
+        return step_over(keep(hanging.join(reached, F.col("id") == F.col("seen"), "left_anti"), "rest"))
+
+    levels = rounds.union([start, *rounds.walk(start, step_over(hanging), "frontier", after_single=cut)])
+    reached = levels.select(F.col("id").alias("seen"))
+    return Levels(levels, hanging.join(reached, F.col("id") == F.col("seen"), "left_anti"))
 
 
 def cycle_members(rest: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from heddle.functions import scalars as S
-from heddle.operators import graph
+from heddle.operators import graph, rounds
 from heddle.session import keep
 
 
@@ -57,14 +57,13 @@ def expand(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int
     links = keep(links.groupBy("up", "child").agg(F.min("start_line").alias("start_line"), F.min("edge_seq").alias("edge_seq")), "links")
     sort_key = F.struct(F.col("start_line").alias("line"), F.col("edge_seq").alias("seq"))
     level = keep(roots.select(F.col("node_id").alias("root_id"), "node_id", F.lit(0).alias("depth"), F.array("node_id").alias("path"), F.array().cast("array<struct<line:int,seq:bigint>>").alias("sort_path")), "tree")
-    out, depth = level, 0
-    while max_depth == 0 or depth + 1 < max_depth:
-        nxt = level.join(links, level.node_id == links.up).where(~F.array_contains("path", F.col("child")))
-        level = keep(nxt.select("root_id", F.col("child").alias("node_id"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("child")).alias("path"), F.array_append("sort_path", sort_key).alias("sort_path")), "tree")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-        depth += 1
+
+    def step(last: DataFrame) -> DataFrame:
+        nxt = last.join(links, F.col("node_id") == F.col("up")).where(~F.array_contains("path", F.col("child")))
+        return nxt.select("root_id", F.col("child").alias("node_id"), (F.col("depth") + 1).cast("int").alias("depth"), F.array_append("path", F.col("child")).alias("path"), F.array_append("sort_path", sort_key).alias("sort_path"))
+
+    below = rounds.walk(level, step, "tree", most=max_depth - 1 if max_depth else 1_000_000) if max_depth != 1 else []
+    out = rounds.union([level, *below])
     counts = links.groupBy(F.col("up").alias("cid")).agg(F.count("*").alias("n"))
     hidden = F.when(F.lit(max_depth > 0) & (F.col("depth") + 1 >= max_depth), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.join(counts, out.node_id == counts.cid, "left").select("root_id", "node_id", "depth", "path", "sort_path", hidden.alias("hidden_children"))
