@@ -15,8 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Combinations may leave this many units of a container empty.
-WINDOW = 2
+#: Combinations may leave this share of a container empty.
+WINDOW = 1 / 1024
 #: Gradient steps of the least-squares fit.
 STEPS = 400
 #: Length groups are ranked in so many salted parts, so that a frequent length is no one task.
@@ -31,7 +31,7 @@ class Pattern:
     repeats: int
 
 
-def combinations(present: np.ndarray, capacity: int, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def combinations(present: np.ndarray, capacity: int, window: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index triples (into 0..capacity; 0 stands for none) of one to three lengths that
     sum to capacity - window .. capacity, in ascending order of their parts."""
     has = np.zeros(capacity + 1, bool)
@@ -84,8 +84,9 @@ def fit_repeats(hist: np.ndarray, parts: np.ndarray, steps: int = STEPS) -> np.n
     return x
 
 
-def plan(hist: np.ndarray, capacity: int, window: int = WINDOW) -> list[Pattern]:
+def plan(hist: np.ndarray, capacity: int, window: int | None = None) -> list[Pattern]:
     """Patterns that place every item of the histogram; hist[s] items have length s >= 1."""
+    window = int(WINDOW * capacity) if window is None else window
     left = hist.astype("int64").copy()
     left[0] = 0
     patterns: list[Pattern] = []

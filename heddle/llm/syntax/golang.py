@@ -197,7 +197,9 @@ class Parser(Cursor):
         """Either all parameters are named, or none is."""
         self.need("(")
         named = plain = 0
+        bare = False  # the last one so far is a lone name
         while not self.at(")"):
+            bare = False
             if self.eat("..."):
                 self.type()
                 plain += 1
@@ -212,9 +214,10 @@ class Parser(Cursor):
                     named += 1
                 else:
                     plain += not single
+                    bare = single
             if not self.at(")"):
                 self.need(",")
-        if named and plain:
+        if named and (plain or bare):
             self.fail("named parameters")
         self.need(")")
 
