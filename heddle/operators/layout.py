@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from heddle.functions import scalars as S
 from heddle.operators.chunking import mean_vector
+from heddle.session import only_row
 
 CANVAS = 5000.0
 SALTS = 16
@@ -28,9 +29,9 @@ def project(nodes: DataFrame, dim: int = 64) -> DataFrame:
     if v.limit(2).count() < 2:
         return m.select("node_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     p = PCA(k=2, inputCol="v", outputCol="p").fit(v).transform(v).select("node_id", vector_to_array("p").alias("p"))
-    r = p.agg(F.min(F.col("p")[0]).alias("x0"), F.max(F.col("p")[0]).alias("x1"), F.min(F.col("p")[1]).alias("y0"), F.max(F.col("p")[1]).alias("y1"))
-    scale = lambda c, a, b: F.when(b > a, (c - a) / (b - a) * 2 * CANVAS - CANVAS).otherwise(F.lit(0.0))
-    return p.crossJoin(F.broadcast(r)).select("node_id", scale(F.col("p")[0], F.col("x0"), F.col("x1")).alias("x"), scale(F.col("p")[1], F.col("y0"), F.col("y1")).alias("y"))  # r has one row
+    r = only_row(p.agg(F.min(F.col("p")[0]).alias("x0"), F.max(F.col("p")[0]).alias("x1"), F.min(F.col("p")[1]).alias("y0"), F.max(F.col("p")[1]).alias("y1")))
+    scale = lambda c, a, b: (c - a) / (b - a) * 2 * CANVAS - CANVAS if b > a else F.lit(0.0)
+    return p.select("node_id", scale(F.col("p")[0], r["x0"], r["x1"]).alias("x"), scale(F.col("p")[1], r["y0"], r["y1"]).alias("y"))
 
 
 def clusters(points: DataFrame, k: int = 20, seed: int = 42) -> DataFrame:
@@ -56,10 +57,10 @@ def cluster_labels(words: DataFrame, top: int = 4, most_share: float = 0.8) -> D
     """(cluster, label): words of highest term frequency times log inverse cluster frequency, joined;
     words in more than ``most_share`` of the clusters do not count. words: (cluster, token)."""
     tf = words.groupBy("cluster", "token").agg(F.count("*").alias("tf"))
-    n = words.select("cluster").distinct().agg(F.count("*").alias("n"))
+    n = words.select("cluster").distinct().count()
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    s = tf.join(df, "token").crossJoin(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(1.0), F.col("n") * most_share))  # n has one row
-    s = s.withColumn("score", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).where("score > 0")
+    s = tf.join(df, "token").where(F.col("df") <= max(1.0, n * most_share))
+    s = s.withColumn("score", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)).where("score > 0")
     r = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("score").desc(), "token"))
     best = s.withColumn("r", r).where(F.col("r") <= top)
     return best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]), " · ").alias("label"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from heddle.functions import scalars as S
 from heddle.operators import graph as g, hierarchy as h
-from heddle.session import keep
+from heddle.session import keep, only_row
 
 #: Deepest level that is told apart; deeper chains and cycles count one more.
 DEEPEST = 20
@@ -126,8 +126,8 @@ def report_metadata(nodes: DataFrame, edges: DataFrame, project: str = "project"
     """One row: project, node and edge counts by kind, categories as text."""
     c = nodes.groupBy("category").agg(F.count("*").alias("n"))
     cats = c.agg(F.sum("n").alias("node_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "n"))), lambda x: F.concat(x["category"], F.lit("="), x["n"].cast("string"))), ",").alias("categories"))
-    e = edges.agg(F.count("*").alias("edge_count"), F.count_if(F.col("edge_type") == "references").alias("reference_count"))
-    return cats.crossJoin(e).select(F.lit(project).alias("project"), "node_count", "edge_count", "reference_count", "categories")  # one row each
+    e = only_row(edges.agg(F.count("*").alias("edges"), F.count_if(F.col("edge_type") == "references").alias("references")))
+    return cats.select(F.lit(project).alias("project"), "node_count", F.lit(e["edges"]).cast("long").alias("edge_count"), F.lit(e["references"]).cast("long").alias("reference_count"), "categories")
 
 
 def write_html(nodes: DataFrame, edges: DataFrame, meta: DataFrame, path: str, most: int = 10_000) -> None:

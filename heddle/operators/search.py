@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from heddle.functions import scalars as S
 from heddle.operators import graph
-from heddle.session import keep
+from heddle.session import keep, only_row
 
 META = set("*?[]^$|+{}()")
 FIELDS = ["node_id", "content", "smart_content", "leading_context"]
@@ -171,15 +171,13 @@ def folder_distribution(ids: DataFrame, drill: float = 0.9) -> DataFrame:
     path = S.file_path(F.col("node_id"))
     rows = ids.select(S.folder(path).alias("f1"), S.second_folder(path).alias("f2"))
     small = rows.groupBy("f1", "f2").agg(F.count("*").alias("n"))
-    total = small.agg(F.sum("n").alias("total"))
-    f1 = small.groupBy("f1").agg(F.sum("n").alias("n1"))
-    big = f1.crossJoin(F.broadcast(total)).where(F.col("n1") / F.col("total") >= drill).select(F.col("f1").alias("b"))  # one row
-    name = F.when(F.col("b").isNotNull(), F.col("f2")).otherwise(F.col("f1"))
-    return small.join(F.broadcast(big), F.col("f1") == F.col("b"), "left").groupBy(name.alias("folder")).agg(F.sum("n").cast("long").alias("n"))
+    top = only_row(small.groupBy("f1").agg(F.sum("n").alias("n1")).agg(F.sum("n1").alias("total"), F.max_by("f1", "n1").alias("f1"), F.max("n1").alias("n1")))
+    big = top["f1"] if top["total"] and top["n1"] / top["total"] >= drill else None
+    name = F.when(F.col("f1") == F.lit(big), F.col("f2")).otherwise(F.col("f1"))
+    return small.groupBy(name.alias("folder")).agg(F.sum("n").cast("long").alias("n"))
 
 
 def envelope(hits: DataFrame, shown: DataFrame, spec: QuerySpec) -> DataFrame:
     """One row: total, showing, offset, limit, folders as a map."""
     folders = folder_distribution(hits).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("folder", "n")))).alias("folders"))
-    total, showing = hits.agg(F.count("*").alias("total")), shown.agg(F.count("*").alias("showing"))
-    return total.crossJoin(showing).crossJoin(folders).withColumn("offset", F.lit(spec.offset)).withColumn("limit", F.lit(spec.limit))
+    return folders.select(F.lit(hits.count()).cast("long").alias("total"), F.lit(shown.count()).cast("long").alias("showing"), "folders", F.lit(spec.offset).alias("offset"), F.lit(spec.limit).alias("limit"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heddle.functions import scalars as S
 from heddle.operators import graph, search as op
-from heddle.session import table
+from heddle.session import only_row, table
 
 NODES = ["node_id", "node_seq", "start_line", "end_line", "content", "smart_content", "leading_context", "embedding", "smart_content_embedding", "embedding_chunk_offsets"]
 
@@ -131,8 +131,8 @@ def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
 def cosine_to_first(spark: SparkSession, d: str) -> DataFrame:
     """Cosine of each vector to vector 0, clamped at 0."""
     e = table(spark, d, "embeddings", "vec_id", "embedding")
-    q = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
-    return e.crossJoin(q).select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    q = only_row(e.where("vec_id = 0"))["embedding"]
+    return e.select("vec_id", F.round(S.cosine(F.col("embedding"), F.lit([float(x) for x in q])), 6).alias("score"))
 
 
 def node_projection(spark: SparkSession, d: str) -> DataFrame:

@@ -59,8 +59,8 @@ def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
     q = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     done = spark.read.parquet(out)
-    last = done.agg(F.max("batch").alias("b"))
-    return done.join(F.broadcast(last), F.col("batch") == F.col("b")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))  # last has one row
+    last = done.agg(F.max("batch")).first()[0]
+    return done.where(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (markdown_sections, python_definitions, project_markers, change_summary, snapshot_changes, streamed_windows)}

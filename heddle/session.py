@@ -57,6 +57,11 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_row(df: DataFrame) -> dict:
+    """The values of a one-row result, such as a global aggregate, for use as literals."""
+    return df.first().asDict()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One Parquet table of a data folder; with ``columns``, only these."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
