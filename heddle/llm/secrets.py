@@ -46,8 +46,8 @@ _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 SECRET_WORDS = frozenset("password passwd passwort pwd pass pw passphrase secret secrets token apikey credential credentials cred creds auth authorization bearer signature dsn connection conn login".split())
 KEY_KINDS = frozenset("api access signing secret private service auth client master encryption account deploy shared session webhook".split())
 ABOUT_WORDS = frozenset("name names hint field fields type kind ref reference path file filename url uri endpoint label title policy length count limit size ttl expires expiry hash etag checksum digest revision public alphabet icon integrity placeholder prompt help description message error scope audience issuer algorithm id ids env var variable prefix suffix header_name format regex pattern".split())
-STOCK = frozenset("changeme change_me change-me changeit replaceme replace_me replace-me password passwd secret token admin root test guest example dummy sample default none null nil true false undefined todo tbd fixme xxx redacted hidden masked empty placeholder bearer basic string your-secret-here your_secret_here secret123 password123 hunter2 letmein qwerty 123456 12345678 foobar foo bar".split())
-REFERENCE = re.compile(r"^\$\{?[A-Za-z_][\w.]*\}?$|^\$\{[^}]*\}$|\{\{.*\}\}|^\$\([^)]*\)$|^%[A-Za-z_]\w*%$|^<[^>]*>$|^\[[^\]]*\]$|^(?:vault|env|file|ssm|arn|secret|secrets|secretsmanager|op|keychain|keyring|kms|gcp|aws|azure|sops|ref|configmap)(?::|://)|^ENC[\[(]|^enc:|^AQICAH|^\{cipher\}|^!(?:vault|secret|ENV)|^#\{.*\}$|^@\w+@$", re.I)
+STOCK = frozenset("pass pwd passwd user username changeme change_me change-me changeit replaceme replace_me replace-me password passwd secret token admin root test guest example dummy sample default none null nil true false undefined todo tbd fixme xxx redacted hidden masked empty placeholder bearer basic string your-secret-here your_secret_here secret123 password123 hunter2 letmein qwerty 123456 12345678 foobar foo bar".split())
+REFERENCE = re.compile(r"^\$\{?[A-Za-z_][\w.]*\}?$|^\$\{[^}]*\}$|\{\{.*\}\}|^\$\([^)]*\)$|^%[A-Za-z_]\w*%$|^<[^>]*>$|^\[[^\]]*\]$|^(?:vault|env|file|ssm|arn|secret|secrets|secretsmanager|op|keychain|keyring|kms|gcp|aws|azure|sops|ref|configmap)(?::|://)|^ENC[\[(]|^enc:|^AQICAH|^\{cipher\}|^!(?:vault|secret|ENV)|^#\{.*\}$|^@\w+@$|^\{[^{}]*\}$|^%[sd]$|^:\w+$", re.I)
 MASK = re.compile(r"^(.)\1{3,}$|^[*•x.X#_-]{4,}$|\*{4,}|x{6,}|\.\.\.$", re.I)
 TEMPLATE = re.compile(r"your[-_ ]|[-_ ]here$|replace|change[-_ ]?me|insert|example|paste|<|>|\bdummy\b|placeholder", re.I)
 
@@ -254,10 +254,10 @@ def weak_label(c: Candidate) -> int | None:
         return 0
     if c.kind in ("block", "known") or KNOWN.search(c.value):
         return 1
-    if c.kind in ("url", "field", "bearer", "basic", "user", "pair") and (_password_like(c.value) or c.kind == "basic"):
-        return 1
-    if c.kind == "config":
-        return 1  # the field is the secret itself
+    if c.kind in ("url", "field", "user", "basic", "config"):
+        return 1  # the place itself says that the value is one
+    if c.kind in ("bearer", "pair"):
+        return 1 if _password_like(c.value) else 0
     secret, about = names_secret(c.name), names_about(c.name)
     if about or not secret:
         return 0
@@ -290,7 +290,7 @@ def features(c: Candidate, path: str, letters: Letters) -> np.ndarray:
         names_secret(c.name), names_about(c.name), names_secret(c.name) and not names_about(c.name), bool(words) and words[-1] in SECRET_WORDS, any(w in ("password", "passwd", "pwd", "pw", "passphrase", "pass") for w in words),
         bool(REFERENCE.search(v)), bool(MASK.search(v)), bool(TEMPLATE.search(v)), v.lower() in STOCK, no_credential(c),
         bool(re.fullmatch(r"[a-z]+(?:[-_ .][a-z]+)*", v)), bool(re.fullmatch(r"[a-z]+(?:-[a-z]+)+\d+", v)), bool(re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+|::\w+|\(\))*", v)) and not known and digits == 0,
-        known or (names_secret(c.name) and not names_about(c.name) and _password_like(plain) and not no_credential(c)), (known or c.kind in ("url", "field", "bearer", "basic", "user", "pair")) and not no_credential(c),
+        known or (names_secret(c.name) and not names_about(c.name) and _password_like(plain) and not no_credential(c)), (known or c.kind in ("block", "url", "field", "user", "basic", "config") or (c.kind in ("bearer", "pair") and _password_like(v))) and not no_credential(c),
         low.endswith((".env", ".yaml", ".yml", ".toml", ".json", ".tf", "dockerfile")), "test" in low or "fixture" in low or "example" in low, "config" in low or "deploy" in low,
     ]
     return np.array([*map(float, f), *(float(c.kind == k) for k in KINDS)])
@@ -425,7 +425,7 @@ class Finder:
         if not found:
             return []
         p = self.model.probability(np.stack([features(c, path, self.letters) for c in found]))
-        return [(c.start, c.end, float(q)) for c, q in zip(found, p) if q >= self.model.threshold]
+        return [(c.start, c.end, float(q)) for c, q in zip(found, p) if q >= self.model.threshold and not no_credential(c)]
 
     def text(self, text: str, path: str) -> list[tuple[int, int, int, float]]:
         """(line number, start and end in the line, probability) of each credential."""
@@ -445,7 +445,7 @@ class Finder:
         """Probability that a whole configuration value is a credential."""
         m = _DEFAULT.search(value)
         inner = Candidate("default", "jwt_secret", m.group(6), 0, len(value)) if m and m.group(6) is not None else Candidate("config", "jwt_secret", value.split(":", 1)[1] if re.match(r"^(?:plain|raw|literal|text|string|value|base64|b64|hex):", value) else value, 0, len(value))
-        return float(self.model.probability(features(inner, path, self.letters)[None])[0])
+        return 0.0 if no_credential(inner) else float(self.model.probability(features(inner, path, self.letters)[None])[0])
 
 
 def mask(text: str, found: list[tuple[int, int, int, float]]) -> str:
