@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Words kept per Python worker; beyond it the memory is emptied, results stay the same.
 WORD_MEMORY = 400_000
-#: Ids given to documents without tokens: null text stays null, empty text has no ids.
-NULL_IDS, EMPTY_IDS = None, []
 
 
 def default_folder() -> str:
@@ -118,20 +116,21 @@ class Encoder:
         for w, ids in zip(done["w"].tolist(), done["ids"]):
             self.words[words[w]] = np.asarray(ids, "int32")
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        cut = [None if t is None else self.pattern.findall(t) for t in texts]
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; none for null and empty ones."""
+        cut = [self.pattern.findall(t) if t else [] for t in texts]
         if len(self.words) > WORD_MEMORY:
             self.words.clear()
-        if fresh := {w for c in cut if c for w in c if w not in self.words}:
+        if fresh := {w for c in cut for w in c if w not in self.words}:
             self.learn(sorted(fresh))
         empty = np.empty(0, "int32")
-        return [None if c is None else np.concatenate([self.words[w] for w in c]) if c else empty for c in cut]
+        return [np.concatenate([self.words[w] for w in c]) if c else empty for c in cut]
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, folder: str | None = None, name: str = "byte_bpe_50k") -> DataFrame:
     """(id, ids array<int>) of every row, without special tokens.
 
-    Null text gives null ids, empty text an empty array; blanks and control codes are
+    Null and empty texts give an empty array; blanks and control codes are
     encoded like other text.  Ids repeat as their rows do.  Other columns are ignored.
     """
     folder = folder or default_folder()
