@@ -11,6 +11,11 @@ frequent vector nor a repeated row makes a leaf grow; members come back at the e
 Vectors travel to the leaves as signed bytes; the error this makes is allowed for until
 the exact comparison.
 
+Prefixes separate close vectors from the rest; the nearest ones far below that are spread
+over many leaves of every tree.  A search with a floor under CLOSE therefore goes over
+cells around sampled centres: each vector asks the cells nearest to it, in that order, and
+is compared exactly with all that they hold.  With PROBES cells or fewer that is every pair.
+
 Defined cases: null and empty vectors, all-zero vectors and vectors with null, NaN or
 infinite numbers are left out; vectors of different lengths are never compared; ties are
 broken by node id; a table without vectors gives no rows; other columns are ignored.
@@ -37,6 +42,14 @@ BYTE_ERROR = 0.012
 #: Candidates kept per vector, tree and leaf beyond k, for the ranks that bytes confuse.
 SPARE = 6
 SALTS = 32
+#: Below this floor the search goes over cells instead of prefixes.
+CLOSE = 0.8
+#: Vectors a cell is aimed to hold; far larger ones are held in parts, which are asked alike.
+CELL = 2048
+#: Nearest cells that a vector asks.
+PROBES = 4
+#: Vectors compared with a cell at once.
+BLOCK = 1024
 
 
 def vectors(nodes: DataFrame, id_col: str = "node_id", vec_col: str = "embedding") -> DataFrame:
@@ -130,6 +143,12 @@ def score_leaf(leaf: pd.DataFrame, k: int, at_least: float, enough: int) -> pd.D
     return pd.DataFrame({"a": a, "b": b, "sim": s.astype("float32")})
 
 
+def sampled(cls: DataFrame, total: int) -> pd.DataFrame:
+    """(vid, vec) of at most SAMPLE classes, chosen by hash."""
+    share = min(1.0, 1.2 * SAMPLE / max(1, total))
+    return cls.select("vid", "vec").where(F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).toPandas()
+
+
 def candidates(
     cls: DataFrame, k: int, at_least: float = -2.0, queries: DataFrame | None = None, trees: int = TREES, leaf: int = LEAF, enough: int | None = None
 ) -> DataFrame:
@@ -145,8 +164,7 @@ def candidates(
         cls = cls.join(asked, cls.vid == asked.asked, "left").withColumn("ask", F.col("asked").isNotNull())
     else:
         cls = cls.withColumn("ask", F.lit(True))
-    share = min(1.0, 1.2 * SAMPLE / max(1, total))
-    sample = cls.select("vid", "vec").where(F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).toPandas()
+    sample = sampled(cls, total)
     starts: dict[int, list[np.ndarray]] = {}
     for dim, part in sample.groupby(sample["vec"].map(len)):
         h = hash_strings(unit(np.stack(part["vec"].to_list())), trees)
@@ -192,6 +210,109 @@ def candidates(
     return found.groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
+def cell_centres(units: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """At most n centres by spherical k-means."""
+    units = units.astype("float32")
+    centres = units[np.random.default_rng(3).permutation(len(units))[:n]]
+    for _ in range(rounds):
+        total = np.zeros_like(centres)
+        np.add.at(total, (units @ centres.T).argmax(axis=1), units)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(norm > 0, total / np.maximum(norm, 1e-9), centres)
+    return centres
+
+
+def compare(base: pd.DataFrame, ask: pd.DataFrame, most: int, at_least: float) -> pd.DataFrame:
+    """(a, b, similarity): for each vector of ``ask`` the nearest ``most`` of ``base`` of other nodes."""
+    matrix = lambda part: unit(np.stack([np.frombuffer(x, "float64") for x in part["vec"]]))
+    b, b_owner, held = base["vid"].to_numpy("int64"), base["owner"].fillna(0).to_numpy("int64"), matrix(base)
+    held32 = held.astype("float32")
+    out = []
+    for lo in range(0, len(ask), BLOCK):
+        part = ask.iloc[lo : lo + BLOCK]
+        a, owner, units = part["vid"].to_numpy("int64"), part["owner"].fillna(0).to_numpy("int64"), matrix(part)
+        sims = units.astype("float32") @ held32.T
+        sims[a[:, None] == b[None]] = -2
+        sims[(owner[:, None] == b_owner[None]) & (owner != 0)[:, None]] = -2
+        best = min(most, len(b))
+        top = np.argpartition(-sims, best - 1, axis=1)[:, :best]
+        row, col = np.nonzero(np.take_along_axis(sims, top, 1) > -1.5)
+        at = top[row, col]
+        exact = np.einsum("ij,ij->i", units[row], held[at])
+        ok = exact >= at_least
+        out.append(pd.DataFrame({"a": a[row[ok]], "b": b[at[ok]], "similarity": exact[ok]}))
+    return pd.concat(out)
+
+
+def by_cells(cls: DataFrame, k: int, at_least: float = -2.0, queries: DataFrame | None = None, cell: int = CELL, probes: int = PROBES) -> DataFrame:
+    """(a, b, similarity): the k + SPARE nearest classes b found for each query class a, exactly compared.
+
+    cls and queries as of candidates.
+    """
+    total = cls.count()
+    if queries is not None:
+        asked = queries.select(F.col("vid").alias("asked")).distinct()
+        cls = cls.join(asked, cls.vid == asked.asked, "left").withColumn("ask", F.col("asked").isNotNull())
+    else:
+        cls = cls.withColumn("ask", F.lit(True))
+    sample = sampled(cls, total).sort_values("vid")
+    places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim, part in sample.groupby(sample["vec"].map(len)):
+        units = unit(np.stack(part["vec"].to_list()))
+        one = total / len(sample)  # classes that a sampled one stands for
+        centres = cell_centres(units, max(1, round(len(part) * one / cell)))
+        held = np.bincount((units.astype("float32") @ centres.T).argmax(axis=1), minlength=len(centres)) * one
+        places[dim] = centres, np.maximum(1, np.ceil(held / (8 * cell))).astype("int64")
+    shared = cls.sparkSession.sparkContext.broadcast(places)  # at most SAMPLE vectors
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, rows in batch.groupby(batch["vec"].map(len)):
+                centres, parts = shared.value.get(dim) or (np.zeros((1, dim), "float32"), np.ones(1, "int64"))
+                vid, ask, vec = rows["vid"].to_numpy("int64"), rows["ask"].to_numpy(bool), np.stack(rows["vec"].to_list()).astype("float64")
+                near = np.argsort(-(unit(vec).astype("float32") @ centres.T), axis=1, kind="stable")[:, :probes]
+                own = vid % parts[near[:, 0]]
+                raw, owner = np.array([x.tobytes() for x in vec], object), rows["owner"].astype("Int64")
+                for j in range(near.shape[1]):
+                    for p in range(int(parts[near[:, j]].max())):
+                        base = (own == p) & (j == 0)
+                        at = np.flatnonzero((p < parts[near[:, j]]) & (base | ask))
+                        if len(at):
+                            yield pd.DataFrame({"cell": (dim << 40) + (near[at, j] << 20) + p, "rank": np.where(base[at], 0, 1), "vid": vid[at], "owner": owner.iloc[at].to_numpy(), "ask": ask[at], "vec": raw[at]})
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, base = None, [], None  # base: all vectors of the cell, once the first that only asks has come
+
+        def inside() -> Iterator[pd.DataFrame]:
+            if base is not None and base["ask"].any():
+                yield compare(base, base[base["ask"]], k + SPARE, at_least)
+
+        for batch in batches:
+            for (cell_, rank), part in batch.groupby(["cell", "rank"], sort=True):
+                if cell_ != at:
+                    if held:
+                        base = pd.concat(held)
+                        yield from inside()
+                    at, held, base = cell_, [], None
+                if rank == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    base = pd.concat(held)
+                    yield from inside()
+                    held = []
+                if base is not None:
+                    yield compare(base, part, k + SPARE, at_least)
+        if held:
+            base = pd.concat(held)
+            yield from inside()
+
+    sent = cls.select("vid", "vec", "owner", "ask").mapInPandas(send, "cell long, rank int, vid long, owner long, ask boolean, vec binary")
+    found = sent.repartition("cell").sortWithinPartitions("cell", "rank").mapInPandas(score, "a long, b long, similarity double")
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))
+    return found.withColumn("r", best).where(F.col("r") <= k + SPARE).drop("r")
+
+
 def cosine(a: str, b: str) -> F.Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
@@ -219,10 +340,13 @@ def nearest(
         q = queries.select(F.col("node_id").alias("q")).distinct()
         asking = asking.join(q, asking.node_id == F.col("q"), "left_semi")
     asking = keep(asking, "asking")
-    pairs = candidates(cls, k, at_least, asking.select("vid") if queries is not None else None, **index)
-    pairs = keep(pairs, "pairs")
-    left, right = cls.select(F.col("vid").alias("a"), F.col("vec").alias("va")), cls.select(F.col("vid").alias("b"), F.col("vec").alias("vb"))
-    exact = pairs.join(left, "a").join(right, "b").select("a", "b", cosine("va", "vb").alias("similarity")).where(F.col("similarity") >= at_least)
+    asked = asking.select("vid") if queries is not None else None
+    if at_least < CLOSE:
+        exact = keep(by_cells(cls, k, at_least, asked, **index), "pairs")
+    else:
+        pairs = keep(candidates(cls, k, at_least, asked, **index), "pairs")
+        left, right = cls.select(F.col("vid").alias("a"), F.col("vec").alias("va")), cls.select(F.col("vid").alias("b"), F.col("vec").alias("vb"))
+        exact = pairs.join(left, "a").join(right, "b").select("a", "b", cosine("va", "vb").alias("similarity")).where(F.col("similarity") >= at_least)
     # equal vectors of different nodes: similarity 1 within the class
     owners = members(vecs, k + 1)
     own = cls.where("owner is null").select(F.col("vid").alias("a"), F.col("vid").alias("b"), F.lit(1.0).alias("similarity"))

@@ -60,8 +60,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest of each vector (cosine 0.8 or more) with the neighbour's summary."""
-    n = forest.nearest(_embedded(spark, d), k=10, at_least=0.8)
+    """The ten nearest of each vector with the neighbour's summary."""
+    n = forest.nearest(_embedded(spark, d), k=10)
     notes = table(spark, d, "code_nodes", "node_id", "smart_content").where("smart_content is not null")
     notes = notes.groupBy(F.col("node_id").alias("neighbor_id")).agg(F.min("smart_content").alias("smart_content"))
     return n.join(notes, "neighbor_id", "left").select("node_id", "vid", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"), "smart_content")

@@ -67,3 +67,36 @@ def test_leaves_cover():
     hashes = np.sort(np.random.default_rng(2).integers(0, 2**63, 1000).astype("uint64"))
     starts = forest.leaf_starts(hashes, 50)
     assert starts[0] == 0 and np.bincount(np.searchsorted(starts, hashes, "right") - 1).max() <= 50
+
+
+def test_neighbours_without_a_floor(spark):
+    rnd = np.random.default_rng(5)
+    centres = rnd.standard_normal((40, 24))
+    v = centres[rnd.integers(0, 40, 12_000)] + 1.2 * rnd.standard_normal((12_000, 24))  # more cells than are asked
+    df = spark.createDataFrame([(f"n{i:05d}", [x.tolist()], None) for i, x in enumerate(v)], SCHEMA)
+    ask = spark.createDataFrame([(f"n{i:05d}",) for i in range(0, 12_000, 40)], "node_id string")
+    got = {}
+    for r in forest.nearest(df, 10, queries=ask).collect():
+        got.setdefault(int(r.node_id[1:]), set()).add(int(r.neighbor_id[1:]))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, 12_000, 40):
+        s = u @ u[i]
+        s[i] = -2
+        hits += len(got[i] & set(np.argsort(-s)[:10].tolist()))
+        assert len(got[i]) == 10
+    assert hits >= 0.9 * 3000
+
+
+def test_all_pairs_of_few_vectors(spark):
+    rnd = np.random.default_rng(6)
+    v = rnd.standard_normal((200, 8))
+    df = spark.createDataFrame([(f"n{i:03d}", [x.tolist()], None) for i, x in enumerate(v)], SCHEMA)
+    got = {(r.node_id, r["rank"]): r for r in forest.nearest(df, 10).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(200):
+        s = u @ u[i]
+        s[i] = -2
+        for r, j in enumerate(np.argsort(-s)[:10], 1):
+            row = got[f"n{i:03d}", r]
+            assert row.neighbor_id == f"n{j:03d}" and abs(row.similarity - s[j]) < 1e-12
