@@ -121,6 +121,20 @@ def test_garbled_texts(spark):
     assert mojibake.repair(df.limit(0)).count() == 0
 
 
+def test_garbled_invisible_characters(spark):
+    fr = CLEAN["fr"]
+    clean = [fr, "Nous préférons l’étape d’été à l’été passé, où l’élève a préparé la dernière épreuve.", "L’œuvre et l’été : « voilà » une dernière étape préférée."]
+    bad = [
+        (mojibake.garble("voilà : « étape »".replace(" ", "\xa0"), "cp1252", "utf-8"), "voilà : « étape »".replace(" ", "\xa0")),
+        (mojibake.garble("une\xa0étape\xa0: oui\xa0; non", "latin-1", "utf-8"), "une\xa0étape\xa0: oui\xa0; non"),
+        ("Prix\xc2\xa0: 40\xc2\xa0euros\xc2\xa0; net", "Prix\xa0: 40\xa0euros\xa0; net"),
+        (mojibake.garble(mojibake.garble("passons à l'étape déjà préparée", "cp1252", "utf-8"), "cp1252", "utf-8"), "passons à l'étape déjà préparée"),
+    ]
+    rows = [(i, t) for i, t in enumerate(clean * 60)] + [(1000 + i, g) for i, (g, _) in enumerate(bad)]
+    got = {r.doc_id: r.restored for r in mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string"), margin=3.0).collect()}
+    assert got == {1000 + i: want for i, (_, want) in enumerate(bad)}
+
+
 def test_origin(spark):
     hand = "import os\n\ndef read_block(path):\n    with open(path) as handle:\n        return handle.read()\n" * 4
     js = "export function mergeQueues(left, right) {\n  return left.concat(right);\n}\n" * 5
