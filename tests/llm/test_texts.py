@@ -102,6 +102,49 @@ CLEAN = {
 }
 
 
+FOREIGN = """Příliš žluťoučký kůň úpěl ďábelské ódy, když se vrátil domů
+Пошук повертає результати для кожного вузла, якщо його індекс існує
+Sökningen återger varje nod även när sökvägen är för lång för gränssnittet
+Søgningen går gennem alle filer og gemmer nøglen på den rigtige måde
+A keresés időben visszaadja az összes fájlt, és a gyűjtő őrzi a kulcsot
+Căutarea întoarce fiecare nod și așteaptă până când fișierul este închis
+Aramanın sonucu boşsa düğüm güncellenmiş özetle birlikte döndürülür
+Η αναζήτηση επιστρέφει κάθε κόμβο όταν το αρχείο είναι κλειστό
+Haku palauttaa jokaisen solmun myös silloin, kun tiedosto on jäänyt auki päällä
+Tìm kiếm trả về mọi nút khi tệp đã được đóng và chỉ mục vẫn còn
+Vyhľadávanie vráti každý uzol, keď je súbor zatvorený a kľúč sa našiel
+Търсенето връща всеки възел, когато файлът е затворен и ключът е намерен
+Pretraživanje vraća svaki čvor kad je datoteka zatvorena, a ključ pronađen
+搜索会返回每个节点，即使文件已经关闭，索引仍然存在
+검색은 파일이 닫혀 있어도 모든 노드를 반환합니다
+Leitin skilar öllum hnútum þó að skráin sé lokuð og lykillinn finnist ekki
+Otsing tagastab iga sõlme, kui fail on suletud ja võti leitud, õige äär
+├── src
+└── файл.txt
+Set\u00a0the\u00a0pending fence: § 5, 20 °C, ½ µs, ±3 → ok""".split("\n")
+
+
+def _margins_and_model(lines):
+    model = mojibake.Model(mojibake.count_table(lines).astype("uint32"))
+    return model, mojibake.judge(lines, model)
+
+
+def test_languages_outside_the_corpus_stay():
+    lines = [f"{t} {k}" for k in range(40) for t in CLEAN.values()]
+    model, margins = _margins_and_model(lines)
+    assert mojibake.Repairer(model, margins).lines(FOREIGN) == {}
+    # each language of the corpus, left out of it
+    for lang, text in CLEAN.items():
+        model, margins = _margins_and_model([x for x in lines if not x.startswith(text)])
+        assert mojibake.Repairer(model, margins).lines([text]) == {}, lang
+
+
+def test_passages_among_intact_signs():
+    model, margins = _margins_and_model([f"{t} {k}" for k in range(60) for t in (CLEAN["fr"], "Nous préférons l’étape : c’est plus sûr.", "L’œuvre voilà une étape.")])
+    got = mojibake.Repairer(model, margins).lines(["Nous prΘfΘrons l’Θtape : c’est plus s√r.", "Nous prÈfÈrons l’Ètape : c’est plus s˚r."])
+    assert [r.text for r in got.values()] == ["Nous préférons l’étape : c’est plus sûr."] * 2
+
+
 def test_garbled_texts(spark):
     rows = [(k, t) for k, t in enumerate(list(CLEAN.values()) * 30)]
     bad, n = [], 1000
@@ -131,7 +174,7 @@ def test_garbled_invisible_characters(spark):
         (mojibake.garble(mojibake.garble("passons à l'étape déjà préparée", "cp1252", "utf-8"), "cp1252", "utf-8"), "passons à l'étape déjà préparée"),
     ]
     rows = [(i, t) for i, t in enumerate(clean * 60)] + [(1000 + i, g) for i, (g, _) in enumerate(bad)]
-    got = {r.doc_id: r.restored for r in mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string"), margin=3.0).collect()}
+    got = {r.doc_id: r.restored for r in mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string"), margins=mojibake.Margins()).collect()}
     assert got == {1000 + i: want for i, (_, want) in enumerate(bad)}
 
 
