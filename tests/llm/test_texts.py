@@ -194,6 +194,24 @@ def test_origin(spark):
     assert origin.classify(df.limit(0)).count() == 0
 
 
+def test_named_signals_mark_alone(spark):
+    rnd = np.random.default_rng(5)
+    word = lambda k: "".join(rnd.choice(list("bcdfgklmnprstaeiou"), 5))
+    stems = ["read_block", "write_index", "merge_queue", "open_file", "close_handle", "find_node", "count_rows", "load_table", "store_value", "next_page"]
+    rows = []
+    for k in range(40):  # hand-written files in snake_case
+        body = "".join(f"def {stems[(k + j) % 10]}_{word(j)}(path, limit):\n    total_rows = limit + {j}\n    return path, total_rows\n\n" for j in range(8))
+        rows.append(("r", f"r/src/m{k}.py", "python", body))
+    alphabet = list("qxzjkvwypbhgfdQXZJKVWYPBHGFD0123456789")
+    rows.append(("r", "r/src/mangled.py", "python", "".join(f"    _{''.join(rnd.choice(alphabet, 7))} = {k}\n" for k in range(300))))
+    rows.append(("r", "r/src/template.py", "python", "class Table:\n" + "".join(f"    field_{k} = column({k})\n" for k in range(300))))
+    camel = "".join(f"def {s.split('_')[0]}{s.split('_')[1].title()}{word(k).title()}(pathName, rowLimit):\n    return pathName, rowLimit\n\n" for k, s in enumerate(stems * 3))
+    rows.append(("r", "r/src/foreign.py", "python", camel))
+    got = {r.file_path: r for r in origin.classify(spark.createDataFrame(rows, "repo string, file_path string, language string, content string")).collect() if r.kind}
+    assert set(got) == {"r/src/mangled.py", "r/src/template.py", "r/src/foreign.py"}
+    assert got["r/src/mangled.py"].minified == got["r/src/template.py"].generated == got["r/src/foreign.py"].third_party == 1.0
+
+
 @needs_tokenizer
 def test_merge_table_is_the_vocabulary():
     with open(os.path.join(FOLDER, "byte_bpe_50k.json"), encoding="utf-8") as f:
