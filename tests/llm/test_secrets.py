@@ -1,6 +1,6 @@
 import numpy as np
 
-from heddle.llm import secrets as S
+from heddle.llm import secrets as S, secrets
 
 CASES = [
     ('password = "n_HcmSSG--k7J"', True),
@@ -72,3 +72,33 @@ def test_held_out_accuracy():
     y = np.array([1.0] * 150 + [0.0] * 150)
     m = S.fit(x[::2], y[::2])
     assert ((m.probability(x[1::2]) >= m.threshold) == y[1::2]).mean() > 0.97
+
+
+def test_signs_of_every_kind_of_line():
+    long_value = "Zq8" + "kV3xW9pL2mR7tB5n" * 4
+    texts = {
+        "long part below": f"SECRET_KEY = (\n    \"{long_value}\"\n)",
+        "letter with a longer lower case": "# İstanbul\nPASSWORD = \"Harbor93!lemon\"",
+        "pin": "pin = \"Kd83!vRt_m2\"",
+        "database call": "client = mongo(\"app\", \"Np4-zzTq81x\")",
+    }
+    found = {name: [c.value for _, line, above in secrets.lines_with_signs(text) for c in secrets.candidates(line, above)] for name, text in texts.items()}
+    assert found == {"long part below": [long_value], "letter with a longer lower case": ["Harbor93!lemon"], "pin": ["Kd83!vRt_m2"], "database call": ["Np4-zzTq81x"]}
+
+
+def test_scores_depend_on_what_the_path_says_not_on_order():
+    letters = secrets.Letters(secrets.letter_counts(["the quick brown fox reads the index of every node\n" * 50]))
+    rows = [(p, c) for p, c in secrets.seeds()]
+    labels = [(secrets.features(c, p, letters), secrets.weak_label(c)) for p, c in rows if secrets.weak_label(c) is not None]
+    model = secrets.fit(np.stack([x for x, _ in labels]), np.array([float(y) for _, y in labels]))
+    text, paths = 'password = "Harbor93!lemon"\n', ["a/src/x.py", "a/tests/x.py", "a/config/x.yaml"]
+    alone = [secrets.Finder(letters, model).text(text, p) for p in paths]
+    shared = secrets.Finder(letters, model)
+    assert [shared.text(text, p) for p in paths] == alone and [shared.text(text, p) for p in reversed(paths)] == alone[::-1]
+
+
+def test_no_feature_is_the_rule_that_labels():
+    letters = secrets.Letters(secrets.letter_counts(["the quick brown fox reads the index of every node\n" * 50]))
+    x, y = zip(*[(secrets.features(c, p, letters), secrets.weak_label(c)) for p, c in secrets.seeds() if secrets.weak_label(c) is not None])
+    agree = [np.mean((np.stack(x)[:, k] > 0) == (np.array(y) == 1)) for k in range(secrets.N_FEATURES)]
+    assert max(agree) < 0.95 and min(agree) > 0.05
