@@ -1,7 +1,9 @@
 """Most similar vectors for every vector: a hash-prefix forest.
 
 Each tree gives every vector a long string of hyperplane bits; the vectors of a tree form
-a sorted array, cut at variable-length prefixes into leaves.  Within a leaf every vector
+a sorted array, cut at variable-length prefixes into leaves.  The sample only spreads the
+array over tasks: however large the collection, a task works off what it gets in pieces of
+bounded size that end where short prefixes do and overlap.  Within a piece every vector
 descends to the longest prefix it shares with enough others; all then ascend in step,
 level by level, to shorter prefixes for more candidates.  The trees' candidates are
 merged, and the similarity of what is left is computed exactly.
@@ -50,6 +52,8 @@ CELL = 2048
 PROBES = 4
 #: Vectors compared with a cell at once.
 BLOCK = 1024
+#: A sorted array longer than so many leaves is worked off in pieces of that size.
+PIECE = 16
 
 
 def vectors(nodes: DataFrame, id_col: str = "node_id", vec_col: str = "embedding") -> DataFrame:
@@ -143,10 +147,40 @@ def score_leaf(leaf: pd.DataFrame, k: int, at_least: float, enough: int) -> pd.D
     return pd.DataFrame({"a": a, "b": b, "sim": s.astype("float32")})
 
 
+def cut_at(hashes: np.ndarray, least: int) -> int:
+    """Place from ``least`` on in a sorted array that parts the shortest common prefix; the last such place."""
+    differ = hashes[least:] ^ hashes[least - 1 : -1]
+    return least + int(len(differ) - 1 - np.argmax(differ[::-1]))
+
+
+def sorted_pieces(batches: Iterator[pd.DataFrame], most: int, overlap: int) -> Iterator[pd.DataFrame]:
+    """Pieces of the sorted array that arrives batch by batch: a leaf, or up to ``most`` entries of a
+    longer one, cut where the shortest prefix ends in the second half.  Both neighbours of a cut
+    see ``overlap`` entries beyond it.  The pieces do not depend on the batches.
+    """
+    held = None  # entries from the last cut on, after the overlap that precedes it
+    before = 0  # how many entries of held lie before the cut
+    for batch in batches:
+        for _, part in batch.groupby("leaf", sort=True):
+            if held is not None and held["leaf"].iat[0] != part["leaf"].iat[0]:
+                yield held
+                held, before = None, 0
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            while len(held) >= before + most + overlap:
+                inner = held["hash"].to_numpy("int64").view("uint64")[before : before + most]
+                cut = before + cut_at(inner, most // 2)
+                yield held.iloc[: cut + overlap]
+                start = max(0, cut - overlap)
+                held, before = held.iloc[start:].reset_index(drop=True), cut - start
+    if held is not None:
+        yield held
+
+
 def sampled(cls: DataFrame, total: int) -> pd.DataFrame:
     """(vid, vec) of at most SAMPLE classes, chosen by hash."""
     share = min(1.0, 1.2 * SAMPLE / max(1, total))
-    return cls.select("vid", "vec").where(F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).toPandas()
+    drawn = cls.select("vid", "vec").where(F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(1 << 50)) < int(share * (1 << 50)))
+    return drawn.orderBy(F.xxhash64("vid", F.lit(5)), "vid").limit(SAMPLE).toPandas()
 
 
 def candidates(
@@ -189,24 +223,11 @@ def candidates(
     floor = at_least - BYTE_ERROR
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-
-        def flush() -> pd.DataFrame:
-            return score_leaf(pd.concat(held), k, floor, enough)
-
-        for batch in batches:
-            for _, part in batch.groupby("leaf", sort=True):
-                if held and (held[0]["leaf"].iat[0] != part["leaf"].iat[0] or size > 16 * leaf):
-                    yield flush()  # a leaf far beyond its aim is worked off in runs of the sorted array
-                    held, size = [], 0
-                held.append(part)
-                size += len(part)
-        if held:
-            yield flush()
+        for piece in sorted_pieces(batches, PIECE * leaf, leaf):
+            yield score_leaf(piece, k, floor, enough)
 
     sent = cls.select("vid", "vec", "owner", "ask").mapInPandas(send, "leaf long, hash long, vid long, owner long, ask boolean, bytes binary")
-    found = sent.repartition("leaf").sortWithinPartitions("leaf", "hash").mapInPandas(score, "a long, b long, sim float")
+    found = sent.repartition("leaf").sortWithinPartitions("leaf", "hash", "vid").mapInPandas(score, "a long, b long, sim float")
     return found.groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from heddle.llm import forest
 
@@ -100,3 +101,37 @@ def test_all_pairs_of_few_vectors(spark):
         for r, j in enumerate(np.argsort(-s)[:10], 1):
             row = got[f"n{i:03d}", r]
             assert row.neighbor_id == f"n{j:03d}" and abs(row.similarity - s[j]) < 1e-12
+
+
+def test_pieces_cover_whatever_the_batches():
+    rnd = np.random.default_rng(3)
+    h = np.sort(rnd.integers(0, 2**62, 3000))
+    h[1000:1700] = h[1000]  # equal strings
+    table = pd.DataFrame({"leaf": np.repeat([1, 2, 2], 1000), "hash": h, "vid": np.arange(3000)})
+    whole = [p["vid"].tolist() for p in forest.sorted_pieces(iter([table]), 200, 30)]
+    for size in (1, 7, 450):
+        parts = (table.iloc[i : i + size] for i in range(0, 3000, size))
+        assert [p["vid"].tolist() for p in forest.sorted_pieces(parts, 200, 30)] == whole
+    assert max(map(len, whole)) <= 200 + 2 * 30 + 200 and sorted({v for p in whole for v in p}) == list(range(3000))
+    near = {(a, a + d) for p in whole for a in p for d in (1, 15) if a + d in p}
+    assert all((a, a + d) in near for d in (1, 15) for a in range(3000 - d) if (a < 1000) == (a + d < 1000))
+
+
+def test_recall_in_deep_trees(spark):
+    """Leaves far smaller than the sample asks for: every array is worked off in many pieces."""
+    rnd = np.random.default_rng(8)
+    centres = rnd.standard_normal((3000, 32))
+    v = np.repeat(centres, 4, axis=0) + 0.35 * rnd.standard_normal((12_000, 32))
+    df = spark.createDataFrame([(f"n{i:05d}", [x.tolist()], None) for i, x in enumerate(v)], SCHEMA)
+    old, forest.SAMPLE = forest.SAMPLE, 40
+    try:
+        got = {(r.node_id, r.neighbor_id) for r in forest.nearest(df, 10, 0.8, leaf=64).collect()}
+    finally:
+        forest.SAMPLE = old
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, 12_000, 20):
+        s = u @ u[i]
+        s[i] = -2
+        want |= {(f"n{i:05d}", f"n{j:05d}") for j in np.argsort(-s)[:10] if s[j] >= 0.8}
+    assert len(want) > 800 and len(want & got) >= 0.9 * len(want)
