@@ -546,7 +546,7 @@ def train(texts: DataFrame, configs: DataFrame | None = None) -> tuple[Letters,
     letters = Letters(counts)
     x, y = [], []
     for path, c in items + seeds():
-        label = weak_label(c)
+        label = None if stands_for_none(c) else weak_label(c)  # what is never masked is not learned from either
         if label is not None:
             x.append(features(c, path, letters))
             y.append(label)
