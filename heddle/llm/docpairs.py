@@ -3,8 +3,10 @@
 Files are parsed with the local grammars; each function or method comes out with its
 code, signature, base types and documentation: the docstring, or else the comment that
 ends directly above it.  Documentation that only points to the overridden method, or is
-missing on a method whose type has bases, is resolved by joining the methods with those
-of the same name in their base types, level by level; what stays empty is dropped.
+missing on a method whose type has bases, is resolved along the hierarchy of types: each
+base is looked up in its own file, else in the repository; the bases of bases are joined
+level by level until none is new, also through types that lack the method; of the methods
+of that name the nearest documented one counts.  What stays empty is dropped.
 
 Defined cases: files that are not valid in their language give nothing; a file recorded
 several times counts once; null contents and unknown languages give nothing; equal
@@ -23,8 +25,6 @@ from heddle.llm import syntax
 from heddle.session import keep
 
 LEAST_WORDS = 4
-#: Inherited documentation is followed up at most so many levels.
-LEVELS = 8
 
 #: Placeholders that stand for missing documentation (lower case).
 PLACEHOLDERS = ["to be written", "todo", "fixme", "xxx", "tbd", "tba", "wip", "n/a", "not documented", "no documentation", "undocumented", "lorem ipsum", "add description", "add documentation", "description goes here", "document this", "document me"]
@@ -119,7 +119,8 @@ def comment_above(text: str, at: int, hash_marks: bool) -> str | None:
 
 
 def pairs_of(text: str, language: str) -> list[tuple[str, str, str, str | None, list[str]]] | None:
-    """(qualified name, signature, code, raw documentation, bases) of a valid file, else None."""
+    """(qualified name, signature, code, raw documentation, bases) of the functions of a valid file
+    and of its types, whose names end in a dot, else None."""
     text = text.replace("\r\n", "\n")
     if text.startswith("﻿"):
         text = text[1:]
@@ -128,6 +129,9 @@ def pairs_of(text: str, language: str) -> list[tuple[str, str, str, str | None,
         return None
     out = []
     for d in found:
+        if d.name.endswith("."):
+            out.append((d.name, "", "", None, list(d.bases)))
+            continue
         doc = d.doc
         if doc is None:
             for at in dict.fromkeys((d.start, d.first)):
@@ -140,7 +144,7 @@ def pairs_of(text: str, language: str) -> list[tuple[str, str, str, str | None,
     return out
 
 
-FUNCTIONS = "repo string, source_file string, language string, qualified_name string, signature string, code string, doc string, bases array<string>, own boolean, inherits boolean"
+FUNCTIONS = "repo string, source_file string, language string, qualified_name string, signature string, code string, doc string, bases array<string>, own boolean, inherits boolean, points boolean"
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -154,43 +158,76 @@ def functions(files: DataFrame) -> DataFrame:
                     continue
                 for name, signature, code, doc, bases in pairs_of(r.content, r.language.lower()) or []:
                     own = says_something(doc, name)
-                    inherits = not own and "." in name and (bool(bases) or bool(doc and _INHERIT.search(doc)))
-                    rows.append((r.repo, r.source_file, r.language, name, signature, code, doc, bases, own, inherits))
+                    points = not own and bool(doc and _INHERIT.search(doc))
+                    inherits = not own and "." in name[:-1] and (bool(bases) or points)
+                    rows.append((r.repo, r.source_file, r.language, name, signature, code, doc, bases, own, inherits, inherits and points))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FUNCTIONS.split(", ")])
 
     return files.mapInPandas(run, FUNCTIONS)
 
 
+def bases(types: DataFrame) -> DataFrame:
+    """(repo, source_file, type, base_file, base): each base of each type, where it is defined.
+
+    types: (repo, source_file, type, bases).  A base in the same file goes before others; of several
+    files of the repository that define it the smallest counts.
+    """
+    known = types.select("repo", "source_file", "type").distinct()
+    up = types.select("repo", "source_file", "type", F.explode("bases").alias("base")).where("base <> type").distinct()
+    here = known.select("repo", "source_file", F.col("type").alias("base"), F.lit(True).alias("here"))
+    somewhere = known.groupBy("repo", F.col("type").alias("base")).agg(F.min("source_file").alias("elsewhere"))
+    found = up.join(here, ["repo", "source_file", "base"], "left").join(somewhere, ["repo", "base"])
+    return found.select("repo", "source_file", "type", F.when(F.col("here"), F.col("source_file")).otherwise(F.col("elsewhere")).alias("base_file"), "base")
+
+
+def ancestors(start: DataFrame, up: DataFrame) -> DataFrame | None:
+    """(repo, source_file, type, base_file, base, level): all types above each type of ``start``, at their
+    least distance; None if there are none.  Types that inherit from each other are met once."""
+    own = up.select("repo", F.col("source_file").alias("base_file"), F.col("type").alias("base"), F.col("base_file").alias("next_file"), F.col("base").alias("next"))
+    keys = ["repo", "source_file", "type", "base_file", "base"]
+    step = keep(start.join(up, ["repo", "source_file", "type"]).select(*keys, F.lit(1).alias("level")), "ancestors")
+    every, level = step, 1
+    if step.isEmpty():
+        return None
+    while True:
+        level += 1
+        further = step.join(own, ["repo", "base_file", "base"]).select("repo", "source_file", "type", F.col("next_file").alias("base_file"), F.col("next").alias("base")).distinct()
+        step = keep(further.join(every, keys, "left_anti").withColumn("level", F.lit(level)), "ancestors")
+        if step.isEmpty():
+            return every
+        every = every.unionByName(step)
+
+
 def inherit(fns: DataFrame) -> DataFrame:
-    """Resolve inherited documentation within a repository, a level of the type hierarchy a round.
+    """Resolve inherited documentation along the types of a repository.
 
-    Adds doc_from: the qualified name that the documentation was written for.
+    fns: functions and types; adds doc_from: the qualified name that the documentation was
+    written for.  Drops types and what has no documentation.
     """
-    done = fns.where("own").withColumn("doc_from", F.col("qualified_name"))
-    open_ = fns.where("inherits")
     cut = lambda c, k: F.substring_index(c, ".", k)
-    have = fns.select("repo", cut("qualified_name", 1).alias("base"), cut("qualified_name", -1).alias("method"), F.when(F.col("own"), F.col("doc")).alias("base_doc"), F.explode_outer("bases").alias("up"))
-    have = have.where("base <> method").groupBy("repo", "base", "method").agg(F.max("base_doc").alias("base_doc"), F.min("up").alias("up"))
-    todo = open_.select("repo", "source_file", "qualified_name", cut("qualified_name", -1).alias("method"), F.explode("bases").alias("base"))
-    if todo.isEmpty():
+    type_of = F.expr("left(qualified_name, length(qualified_name) - length(substring_index(qualified_name, '.', -1)) - 1)")
+    is_type = F.col("qualified_name").endswith(".")
+    done = fns.where(F.col("own") & ~is_type).withColumn("doc_from", F.col("qualified_name"))
+    open_ = fns.where(F.col("inherits") & ~is_type).withColumn("type", type_of).withColumn("method", cut("qualified_name", -1))
+    if open_.isEmpty():
         return done
-    hits: list[DataFrame] = []
-    for _ in range(LEVELS):
-        step = keep(todo.join(have, ["repo", "base", "method"]), "inherit")
-        hits.append(step.where("base_doc is not null").select("source_file", "qualified_name", F.col("base_doc"), F.concat_ws(".", "base", "method").alias("doc_from")))
-        todo = step.where("base_doc is null and up is not null").select("repo", "source_file", "qualified_name", "method", F.col("up").alias("base"))
-        if todo.isEmpty():
-            break
-    found = hits[0]
-    for h in hits[1:]:
-        found = found.unionByName(h)
-    found = found.groupBy("source_file", "qualified_name").agg(F.min(F.struct("doc_from", "base_doc")).alias("f"))
-    resolved = open_.join(found, ["source_file", "qualified_name"]).withColumn("doc", F.col("f.base_doc")).withColumn("doc_from", F.col("f.doc_from")).drop("f")
+    declared = fns.where(is_type).withColumn("type", F.expr("left(qualified_name, length(qualified_name) - 1)"))
+    by_method = fns.where(~is_type & F.col("qualified_name").contains(".")).withColumn("type", type_of)  # languages that name bases at their methods
+    types = declared.unionByName(by_method).select("repo", "source_file", "type", "bases")
+    above = ancestors(open_.select("repo", "source_file", "type").distinct(), bases(types))
+    if above is None:
+        return done
+    have = done.where(F.col("qualified_name").contains(".")).select("repo", F.col("source_file").alias("base_file"), type_of.alias("base"), cut("qualified_name", -1).alias("method"), F.col("doc").alias("base_doc"))
+    hits = open_.select("repo", "source_file", "type", "method", "qualified_name").distinct().join(above, ["repo", "source_file", "type"]).join(have, ["repo", "base_file", "base", "method"])
+    nearest = F.min(F.struct("level", F.concat_ws(".", "base", "method").alias("doc_from"), "base_file", "base_doc")).alias("f")
+    found = hits.groupBy("source_file", "qualified_name").agg(nearest)
+    resolved = open_.join(found, ["source_file", "qualified_name"]).withColumn("doc", F.col("f.base_doc")).withColumn("doc_from", F.col("f.doc_from"))
     return done.unionByName(resolved.select(done.columns))
 
 
 def documented(files: DataFrame) -> DataFrame:
-    """One row per documented function: repo, source_file, language, qualified_name, signature, code, doc, own, doc_from."""
+    """One row per documented function: repo, source_file, language, qualified_name, signature, code, doc,
+    own, points (its own comment refers to the method it overrides), doc_from."""
     fns = keep(functions(files), "functions")
     all_ = inherit(fns)
     first = Window.partitionBy("source_file", "qualified_name").orderBy(F.col("own").desc(), F.col("code"))

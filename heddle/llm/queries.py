@@ -43,7 +43,8 @@ def _documented(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _documented(spark, d).where("own").select("source_file", "qualified_name").distinct()
+    """Functions whose own text documents them, or refers to a documented method that they override."""
+    return _documented(spark, d).where("own or points").select("source_file", "qualified_name").distinct()
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -39,7 +39,11 @@ def _python(text: str) -> list[Def]:
                 head = at(node.body[0].lineno, node.body[0].col_offset)
                 defs.append(Def(owner + node.name, first, start, head, at(node.end_lineno, node.end_col_offset), ast.get_docstring(node), bases))
             elif isinstance(node, ast.ClassDef):
-                visit(node.body, f"{owner}{node.name}.", tuple(b.id if isinstance(b, ast.Name) else b.attr for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))))
+                named = [b.value if isinstance(b, ast.Subscript) else b for b in node.bases]
+                above = tuple(b.id if isinstance(b, ast.Name) else b.attr for b in named if isinstance(b, (ast.Name, ast.Attribute)))
+                end = at(node.end_lineno, node.end_col_offset)
+                defs.append(Def(f"{owner}{node.name}.", end, end, end, end, None, above))
+                visit(node.body, f"{owner}{node.name}.", above)
             else:
                 for part in ("body", "orelse", "finalbody"):
                     visit([x for x in getattr(node, part, []) if isinstance(x, ast.stmt)], owner, bases)
@@ -108,7 +112,7 @@ def problem(text: str | None, language: str | None) -> str | None:
 
 
 def definitions(text: str, language: str) -> list[Def] | None:
-    """Functions and methods of a valid file; None if it is not valid."""
+    """Functions and methods of a valid file, and its types, whose names end in a dot; None if it is not valid."""
     grammar = _GRAMMARS.get((language or "").lower())
     if grammar is None:
         return []

@@ -11,7 +11,8 @@ class Broken(Exception):
 
 class Def(NamedTuple):
     """A function or method: Type.name or name; offsets of its first attribute, of itself
-    without attributes, of the end of its signature and of its end; docstring if any."""
+    without attributes, of the end of its signature and of its end; docstring if any.  A type
+    is named with a dot at its end and has nothing but its bases."""
 
     name: str
     first: int

@@ -606,6 +606,8 @@ class Parser:
             if not self.eat(";"):
                 self.member()
         self.need("}")
+        if declared and not self.functions:
+            self.defs.append(Def(self.owner + ".", self.last_end, self.last_end, self.last_end, self.last_end, None, self.bases))
         self.owner, self.bases = outer
         if not declared:
             self.functions -= 1

@@ -69,3 +69,22 @@ def test_documentation_pairs(spark):
     assert {k for k, r in got.items() if r.own} == {("a.py", "A.kept"), ("a.py", "above"), ("b.py", "B.over"), ("c.js", "f"), ("c.js", "C.m")}
     assert [(k, r.doc_from) for k, r in got.items() if not r.own] == [(("a.py", "A.over"), "B.over")]
     assert docpairs.documented(spark.createDataFrame([], "repo string, source_file string, language string, content string")).count() == 0
+
+
+def test_inherited_documentation(spark):
+    """Gaps, several bases, equal names in other files, cycles and chains of any length."""
+    doc = '        """Runs all steps that are still open."""\n'
+    method = lambda name, said="": f"    def {name}(self):\n" + (said or "        pass\n")
+    files = {
+        "a.py": "class A:\n" + method("run", doc) + "class B(A): pass\nclass C(B):\n" + method("run") + method("stop"),
+        "m.py": "class X:\n" + method("run") + "class Y:\n" + method("run", doc) + "class Z(X, Y):\n" + method("run"),
+        "o.py": "class A:\n" + method("run") + "class D(A):\n" + method("run"),  # its own A has no documentation
+        "p.py": "class E(A):\n" + method("run"),  # A of the smallest file
+        "q.py": "class P(Q):\n" + method("run") + "class Q(P):\n" + method("run"),
+        "l.py": "class L0:\n" + method("run", doc) + "".join(f"class L{k}(L{k - 1}): pass\n" for k in range(1, 12)) + "class Last(L11[int]):\n" + method("run"),
+        "j.js": "class A {\n  /** Reads every row of the table. */\n  get() {}\n}\nclass B extends A {}\nclass C extends B {\n  /** {@inheritDoc} */\n  get() {}\n}",
+    }
+    rows = [("r", f, "javascript" if f.endswith("js") else "python", t) for f, t in files.items()]
+    got = {(r.source_file, r.qualified_name): r for r in docpairs.documented(spark.createDataFrame(rows, "repo string, source_file string, language string, content string")).collect()}
+    assert {k: r.doc_from for k, r in got.items() if not r.own} == {("a.py", "C.run"): "A.run", ("m.py", "Z.run"): "Y.run", ("p.py", "E.run"): "A.run", ("l.py", "Last.run"): "L0.run", ("j.js", "C.get"): "A.get"}
+    assert [k for k, r in got.items() if r.points] == [("j.js", "C.get")]
