@@ -14,14 +14,44 @@ from heddle.llm.syntax.base import Broken, Def
 LANGUAGES = ["python", "javascript", "typescript", "go", "rust", "json", "toml", "yaml"]
 
 
+_LEVEL = re.compile(r"(?![ \t\n#]|(?:elif|else|except|finally)\b|[)\]}])")
+
+
+def statements(text: str) -> list[str]:
+    """Top-level statements of a Python text: pieces that begin at the left margin, in the code
+    state and outside brackets; decorators stay with what they decorate."""
+    out, held, total = [], "", None
+    for line in text.splitlines(keepends=True):
+        outside = total is None or (total[states.CODE].exit == states.CODE and not total[states.CODE].open)
+        if held and outside and _LEVEL.match(line) and not held.rstrip("\n").endswith("\\") and not held.rstrip().rsplit("\n", 1)[-1].startswith("@"):
+            out.append(held)
+            held, total = "", None
+        held += line
+        now = states.summarize("python", line)
+        total = now if total is None else states.combine(total, now)
+    return [*out, held] if held else out
+
+
+def _one(statement: str) -> list[Def]:
+    try:
+        ast.parse(statement)
+    except (SyntaxError, ValueError) as e:
+        raise Broken(str(e)) from None
+    except (RecursionError, MemoryError):
+        return []  # deeper than the parser follows: not known to be broken
+    return []
+
+
 def _python(text: str) -> list[Def]:
     """Python 3.12: the interpreter's own grammar, less what later versions added."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
             tree = ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        except (SyntaxError, ValueError) as e:
             raise Broken(str(e)) from None
+        except (RecursionError, MemoryError):  # one statement is nested too deep: the others still speak
+            return [d for part in statements(text) for d in _one(part)]
     for node in ast.walk(tree):
         if getattr(node, "default_value", None) is not None:  # defaults of type parameters came with 3.13
             raise Broken("default of a type parameter")
@@ -60,14 +90,14 @@ def _json(text: str) -> None:
 
     try:
         json.loads(text, parse_constant=constant)
-    except (ValueError, RecursionError) as e:
+    except ValueError as e:
         raise Broken(str(e)) from None
 
 
 def _toml(text: str) -> None:
     try:
         tomllib.loads(text.replace("\r\n", "\n"))
-    except (ValueError, RecursionError) as e:
+    except ValueError as e:
         raise Broken(str(e)) from None
 
 
@@ -80,7 +110,7 @@ def _yaml(text: str) -> None:
     try:
         for _ in yaml.compose_all(text, Loader=loader):
             pass
-    except (yaml.YAMLError, RecursionError, ValueError) as e:
+    except (yaml.YAMLError, ValueError) as e:
         raise Broken(str(e)[:200]) from None
 
 
@@ -106,8 +136,8 @@ def problem(text: str | None, language: str | None) -> str | None:
         grammar(text)
     except Broken as e:
         return str(e) or "broken"
-    except RecursionError:
-        return None  # nested deeper than the parser can follow; brackets were checked before
+    except (RecursionError, MemoryError):
+        return None  # nested deeper than the parser follows: not known to be broken, in every language
     return None
 
 
@@ -118,7 +148,7 @@ def definitions(text: str, language: str) -> list[Def] | None:
         return []
     try:
         return grammar(text) or []
-    except (Broken, RecursionError):
+    except (Broken, RecursionError, MemoryError):
         return None
 
 

@@ -88,3 +88,42 @@ def test_inherited_documentation(spark):
     got = {(r.source_file, r.qualified_name): r for r in docpairs.documented(spark.createDataFrame(rows, "repo string, source_file string, language string, content string")).collect()}
     assert {k: r.doc_from for k, r in got.items() if not r.own} == {("a.py", "C.run"): "A.run", ("m.py", "Z.run"): "Y.run", ("p.py", "E.run"): "A.run", ("l.py", "Last.run"): "L0.run", ("j.js", "C.get"): "A.get"}
     assert [k for k, r in got.items() if r.points] == [("j.js", "C.get")]
+
+
+FORMATTED = ['d = {"(": 1}\nx = f"{d["("]}"\n', "y = f'{a!r:>{width}} {{literal}} {f\"{b['k)']}\"}'\n", 'z = f"""{\n    call("]")\n} text ( {v:%H:%M}"""\n', "w = rf'\\d{{{n}}}' + F\"{x:{y}}\"\n", 't = f"{x = }" + f"{(lambda q: q)(1)}"\n']
+
+
+def test_formatted_strings():
+    for text in FORMATTED:
+        assert states.balanced(states.summarize("python", text)), text
+        assert syntax.problem(text, "python") is None, text
+    for text in ('x = f"{d["("]"\n', 'x = f"{a"\n', 'x = f"{(}"\n'):
+        assert not states.balanced(states.summarize("python", text)) or syntax.problem(text, "python"), text
+
+
+LONG = {
+    "python": "\n".join(["def f(x):", '    """Text (with an open bracket.', '    """', "    return [x, {'a': (1,", "        2)}]", *FORMATTED]),
+    "go": "package p\n\nvar a = `raw ( \n text`\n/* block ( \n */\nfunc f() {\n\tg('(', \"\\\"(\")\n}\n",
+    "json": '{"a": [1,\n {"b": "(["},\n 2]\n}\n',
+    "toml": 'a = [1,\n 2]\nb = """text [\n more"""\nc = \'[\'\n',
+}
+
+
+@pytest.mark.parametrize("language", LONG)
+def test_every_chunk_size_gives_the_same(language):
+    text = LONG[language] * 2
+    whole = states.balanced(states.summarize(language, text))
+    assert whole
+    for broken in (text, text + "\n(" if language in ("python", "go") else text + "\n["):
+        want = states.balanced(states.summarize(language, broken))
+        for size in range(1, 65):
+            total = functools.reduce(states.combine, [states.summarize(language, c) for c in states.chunks(broken, size)])
+            assert states.balanced(total) == want
+
+
+def test_depth_is_no_error():
+    deep = "x = " + "1 + " * 20_000 + "1\n"
+    assert syntax.problem(deep, "python") is None
+    assert syntax.problem(deep + "y = = 2\n", "python") is not None
+    assert syntax.problem("[" * 50_000 + "]" * 50_000, "json") is None
+    assert syntax.statements("@a\ndef f():\n    x\nif a:\n    b\nelse:\n    c\nd = [\n1]\n") == ["@a\ndef f():\n    x\n", "if a:\n    b\nelse:\n    c\n", "d = [\n1]\n"]
