@@ -13,12 +13,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Combinations may leave this share of a container empty.
 WINDOW = 1 / 1024
 #: Gradient steps of the least-squares fit.
 STEPS = 400
+#: Steps after which combinations without use are set aside.
+PRUNE = 50
+#: More than any rank among items of one length.
+RANKS = 1 << 48
 #: Length groups are ranked in so many salted parts, so that a frequent length is no one task.
 SALTS = 64
 
@@ -54,8 +59,23 @@ def combinations(present: np.ndarray, capacity: int, window: int) -> list[tuple[
 def fit_repeats(hist: np.ndarray, parts: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """min ||A x - hist|| over x >= 0 by accelerated projected gradient.
 
-    parts: (n, 3) lengths of each combination, 0 for none; column j of A counts them.
+    parts: (n, 3) lengths of each combination, 0 for none; column j of A counts them.  Every
+    PRUNE steps, combinations at zero that the gradient would not raise are set aside.
     """
+    out = np.zeros(len(parts))
+    at = np.arange(len(parts))
+    for _ in range(max(1, steps // PRUNE)):
+        x, pull = _descend(hist, parts[at], out[at], min(steps, PRUNE))
+        out[:] = 0.0
+        out[at] = x
+        at = at[(x > 0) | (pull < 0)]
+        if not len(at):
+            break
+    return out
+
+
+def _descend(hist: np.ndarray, parts: np.ndarray, start: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The solution after so many steps from ``start``, and the gradient there."""
     n, m = len(parts), len(hist)
 
     def apply(x: np.ndarray) -> np.ndarray:
@@ -74,14 +94,14 @@ def fit_repeats(hist: np.ndarray, parts: np.ndarray, steps: int = STEPS) -> np.n
         top = np.linalg.norm(probe)
         probe /= max(top, 1e-12)
     rate = 1.0 / max(top * 1.05, 1e-12)
-    x = y = np.zeros(n)
+    x = y = start
     t = 1.0
     for _ in range(steps):
         new = np.maximum(0.0, y - rate * back(apply(y) - hist))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
-    return x
+    return x, back(apply(x) - hist)
 
 
 def plan(hist: np.ndarray, capacity: int, window: int | None = None) -> list[Pattern]:
@@ -162,8 +182,17 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
             taken[size] = lo + count * p.repeats
             slots.append((size, lo, taken[size], count, base))
         base += p.repeats
-    # one row per pattern and length; patterns number a few times ``capacity`` at most
-    table = F.broadcast(spark.createDataFrame(slots, "slot_size int, lo long, hi long, per long, base long"))
+    # per length the ranks at which patterns begin, as one sorted array; patterns number a few
+    # times ``capacity`` at most, whatever the number of items
+    order = np.array(sorted(slots), "int64").reshape(-1, 5)
+    shared = spark.sparkContext.broadcast((order[:, 0] * RANKS + order[:, 1], order[:, 1], order[:, 3], order[:, 4]))
+
+    @F.pandas_udf("long")
+    def container(size: pd.Series, rank: pd.Series) -> pd.Series:
+        keys, lo, per, base = shared.value
+        at = np.searchsorted(keys, size.to_numpy("int64") * RANKS + rank.to_numpy("int64"), side="right") - 1
+        return pd.Series(base[at] + (rank.to_numpy("int64") - lo[at]) // per[at])
+
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("id", "piece_index"), F.lit(SALTS)))
     counts = parts.where("size > 0").groupBy("size", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,8 +204,6 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
         .join(offsets, ["size", "salt"])
         .withColumn("rank", F.col("off") + F.col("local"))
     )
-    placed = ranked.join(
-        table, (F.col("size") == F.col("slot_size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    ).select("id", "piece_index", "start", "size", (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).cast("long").alias("container_id"))
+    placed = ranked.select("id", "piece_index", "start", "size", container(F.col("size"), F.col("rank")).alias("container_id"))
     none = parts.where("size = 0").select("id", "piece_index", "start", "size", F.lit(None).cast("long").alias("container_id"))
     return placed.unionByName(none).withColumnRenamed("id", id_col)
