@@ -7,8 +7,8 @@ target, and a piece is added wherever the limit could not be kept otherwise.
 Defined cases: null and empty texts are never oversized and pass as they are, as do
 items without a limit; repeated rows count once; a single line longer than the limit is
 cut at the next weaker boundary, in the end between any two characters (never inside
-CR LF or before a combining mark where that can be avoided); an overlap of more than
-half the limit counts as half of it; line numbers stay null where the item has none and
+CR LF or before a combining mark where that can be avoided); an overlap of the limit or
+more counts as one character less than it; line numbers stay null where the item has none and
 for smart content.  Limits and positions count Unicode code points.
 """
 
@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from heddle.session import keep
+
 #: Boundaries and their strength: a cut falls at the end of the match.
 BOUNDARIES = [
     (7, re.compile(r"\n[ \t]*\r?\n(?=\S)")),  # blank line before text that is not indented
@@ -31,6 +33,8 @@ BOUNDARIES = [
     (2, re.compile(r"[.!?;:](?=[ \t])[ \t]+|[。！？；][」』）]?")),
     (1, re.compile(r"[ \t]+|[,、，;)\]}]")),
 ]
+#: Kinds of items that can have a limit.
+KINDS = ["code", "content", "smart_content"]
 #: A cut may move from its target by this share of a piece.
 REACH = 0.25
 #: Items of a node are numbered in blocks of so many, so that a node with very many is no single task.
@@ -91,7 +95,7 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces; each but the first starts ``overlap`` before the end of the one before."""
     limit = max(1, int(limit))
-    overlap = max(0, min(int(overlap), limit // 2 if limit > 1 else 0))
+    overlap = max(0, min(int(overlap), limit - 1))
     out, before = [], None
     for end in cuts(text, limit, overlap):
         out.append((0 if before is None else max(0, before - overlap), end))
@@ -135,7 +139,7 @@ def split_items(items: DataFrame, nodes: DataFrame, limits: DataFrame) -> DataFr
     wanted = kinds.withColumnRenamed("node_id", "kind_of")
     it = it.join(wanted, (it.node_id == F.col("kind_of")) & (it.smart == 0), "left").drop("kind_of")
     it = it.withColumn("kind", F.when(F.col("smart") == 1, "smart_content").otherwise(F.col("kind")))
-    lim = limits.groupBy(F.col("kind").alias("of")).agg(F.min("max_chars").cast("int").alias("max_chars"), F.min("overlap_chars").cast("int").alias("overlap_chars"))
+    lim = limits.where(F.col("kind").isin(KINDS)).groupBy(F.col("kind").alias("of")).agg(F.min("max_chars").cast("int").alias("max_chars"), F.min("overlap_chars").cast("int").alias("overlap_chars"))
     it = it.join(F.broadcast(lim), it.kind == lim.of, "left").drop("of", "kind").distinct()  # one row per kind: three rows
     big = F.length("text") > F.col("max_chars")
     cut = it.where(big).mapInPandas(_cut, PIECES)
@@ -149,6 +153,7 @@ def split_items(items: DataFrame, nodes: DataFrame, limits: DataFrame) -> DataFr
 
 def renumber(pieces: DataFrame) -> DataFrame:
     """chunk_index made to run over all pieces of a node and kind; the old one is source_index."""
+    pieces = keep(pieces, "pieces")  # the cuts are made once, though both sides below need them
     block = pieces.withColumn("block", F.floor(F.coalesce("chunk_index", F.lit(0)) / BLOCK).cast("int"))
     sums = block.groupBy("node_id", "smart", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("node_id", "smart").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -70,7 +70,7 @@ def test_least_squares_fits():
 @given(st.text(alphabet=st.sampled_from("ab .\n\t,;{}é日\ŕ"), max_size=400), st.integers(1, 60), st.integers(0, 80))
 def test_pieces_keep_every_character(text, limit, overlap):
     parts = splitting.split_text(text, limit, overlap)
-    real = min(overlap, limit // 2 if limit > 1 else 0)
+    real = min(overlap, limit - 1)
     assert parts[0][0] == 0 and parts[-1][1] == len(text) and all(b - a <= limit for a, b in parts)
     assert all(y[0] == max(0, x[1] - real) and y[1] > x[1] for x, y in zip(parts, parts[1:]))
 
