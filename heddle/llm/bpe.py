@@ -9,6 +9,7 @@ the merges that make its parts, so no pair that arises can come before the other
 
 from __future__ import annotations
 
+import ast
 import json
 import os
 from collections.abc import Iterator
@@ -55,10 +56,10 @@ def _load(folder: str, name: str) -> tuple[np.ndarray, dict[str, np.ndarray], st
     for token, i in vocab.items():
         if all(c in back for c in token):
             content[i] = bytes(back[c] for c in token)
-    spec: dict = {}
     with open(os.path.join(folder, "__init__.py"), encoding="utf-8") as f:
-        exec(compile(f.read(), "tokenizers", "exec"), {"__file__": os.path.join(folder, "__init__.py"), "__name__": "tokenizers_spec"}, spec)
-    return single, merges, spec["PATTERN"], content
+        named = {t.id: node.value for node in ast.parse(f.read()).body if isinstance(node, ast.Assign) for t in node.targets if isinstance(t, ast.Name)}
+    pattern = ast.literal_eval(named["PATTERN"])  # read, not run
+    return single, merges, pattern, content
 
 
 CONTRACT = """
@@ -93,7 +94,7 @@ class Encoder:
         self.single, merges, pattern, _ = _load(folder, name)
         self.pattern = regex.compile(pattern)
         self.words: dict[str, np.ndarray] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.con.register("merges_in", pd.DataFrame(merges))
         self.con.execute("create table merges as select * from merges_in")
 
@@ -156,7 +157,7 @@ def decode(df: DataFrame, id_col: str, ids_col: str, folder: str | None = None,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         content = _load(folder, name)[3]
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         con.register("vocab_in", pd.DataFrame({"id": np.arange(len(content), dtype="int32"), "hex": [c.hex() for c in content]}))
         con.execute("create table vocab as select * from vocab_in")
         for batch in batches:
