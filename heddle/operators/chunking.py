@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -17,47 +18,50 @@ def estimate(text: str) -> int:
     return len(text) // 4
 
 
-def split_long_line(line: str, most: int, count: Callable[[str], int] = estimate) -> list[str]:
-    """A single line beyond the limit, cut by characters with a tenth to spare, at least 100 each."""
-    size = max(100, int(most * len(line) / max(count(line), 1) * 0.9))
-    return [line[i : i + size] for i in range(0, len(line), size)]
+# Share of the limit that a piece of an overlong line aims at, and its least length.
+SPARE, LEAST_PIECE = 0.9, 100
+
+
+def piece_length(length: int, tokens: int, most: int) -> int:
+    """Characters of the pieces of an overlong line, from its own mean token length."""
+    return max(LEAST_PIECE, int(most * length / max(tokens, 1) * SPARE))
+
+
+def spans(sizes: np.ndarray, most: int, overlap: int, joined: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:
+    """(first, end) of the chunks of lines with these sizes, none of them above ``most``.
+
+    Sums from the first line on turn both questions, how many further lines fit and how many of
+    the last ones the next chunk repeats, into searches. A chunk has one new line at least, even
+    where the repeated ones leave no room for it. joined: size of lines first..end as one text.
+    """
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    first = new = carried = 0
+    while new < len(sizes):
+        end = max(new + 1, int(np.searchsorted(total, total[new] + most - carried, "right")) - 1)
+        yield first, end
+        again = int(np.searchsorted(total, total[end] - overlap, "left")) if overlap > 0 else end
+        first, new = max(first, again), end
+        carried = joined(first, end) if first < end else 0
 
 
 def chunk_tokens(text: str, most: int, overlap: int, count: Callable[[str], int] = estimate) -> list[tuple[str, int, int]]:
     """(text, first line, last line): lines are packed up to the limit; a chunk starts with the last
-    lines of the one before as far as they fit the overlap; a chunk may exceed the limit by these."""
+    lines of the one before as far as they fit the overlap; a chunk may exceed the limit by these.
+    An overlong line stands alone, in pieces, and parts what is before it from what follows."""
+    lines = text.split("\n")
     if count(text) <= most:
-        return [(text, 1, text.count("\n") + 1)]
+        return [(text, 1, len(lines))]
+    sizes = np.array([count(line + "\n") for line in lines])
     out: list[tuple[str, int, int]] = []
-    held: list[tuple[str, int]] = []
-    used = 0
-
-    def flush() -> None:
-        if held:
-            out.append(("".join(t for t, _ in held).rstrip("\n"), held[0][1], held[-1][1]))
-
-    for number, line in enumerate(text.split("\n"), 1):
-        full = line + "\n"
-        n = count(full)
-        if n > most:
-            flush()
-            held, used = [], 0
-            out += [(piece, number, number) for piece in split_long_line(line, most, count)]
-            continue
-        if used + n > most:
-            flush()
-            tail: list[tuple[str, int]] = []
-            room = overlap
-            for t, k in reversed(held if overlap > 0 else []):
-                if (c := count(t)) > room:
-                    break
-                tail.insert(0, (t, k))
-                room -= c
-            held = tail
-            used = count("".join(t for t, _ in held)) if held else 0
-        held.append((full, number))
-        used += n
-    flush()
+    start = 0
+    for stop in [*np.flatnonzero(sizes > most).tolist(), len(lines)]:
+        part = lines[start:stop]
+        for a, b in spans(sizes[start:stop], most, overlap, lambda a, b: count("\n".join(part[a:b]) + "\n")):
+            out.append(("\n".join(part[a:b]).rstrip("\n"), start + a + 1, start + b))
+        if stop < len(lines):
+            width = piece_length(len(lines[stop]), count(lines[stop]), most)
+            out += [(lines[stop][at : at + width], stop + 1, stop + 1) for at in range(0, len(lines[stop]), width)]
+        start = stop + 1
     return out
 
 

@@ -26,9 +26,11 @@ def python_definitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Project roots among invented marker paths beside the real files."""
+    """Project roots among the real paths and invented marker files beside them."""
     paths = table(spark, d, "code_nodes", "file_path").distinct().select(F.col("file_path").alias("path"))
-    marks = paths.select(F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/pyproject.toml")).alias("path")).distinct()
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    invented = F.array(*map(F.lit, ["pyproject.toml", "setup.cfg", "Pipfile", "tsconfig.json", "package.json", "go.mod", "Cargo.toml", "pom.xml", "build.gradle.kts", "App.csproj", "All.sln", "Gemfile", "requirements.txt", "global.json", "README.md"]))
+    marks = paths.select(folder.alias("dir")).distinct().select(F.concat("dir", F.lit("/"), F.explode(invented)).alias("path"))
     return files.project_roots(paths.unionByName(marks))
 
 
@@ -66,9 +68,13 @@ def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (markdown_sections, python_definitions, project_markers, change_summary, snapshot_changes, streamed_windows)}
 
 ORACLE = {
-    "project_markers": """with p as (select distinct file_path as path from code_nodes union select distinct split_part(file_path, '/', 1) || '/pyproject.toml' from code_nodes),
-m as (select regexp_replace(path, '/?[^/]*$', '') as path, split_part(path, '/', -1) as f from p)
-select path, case f when 'pyproject.toml' then 'python' when 'setup.py' then 'python' when 'requirements.txt' then 'python' when 'package.json' then 'typescript' when 'tsconfig.json' then 'typescript' when 'go.mod' then 'go' when 'Cargo.toml' then 'rust' when 'pom.xml' then 'java' when 'build.gradle' then 'java' when 'global.json' then 'csharp' end as language, min(f) as marker_file from m group by 1, 2 having language is not null""",
+    "project_markers": """with f as (select distinct file_path as path from code_nodes), dirs as (select distinct regexp_replace(path, '/?[^/]*$', '') as dir from f),
+p as (select path from f union select dir || '/' || m from dirs, (select unnest(['pyproject.toml', 'setup.cfg', 'Pipfile', 'tsconfig.json', 'package.json', 'go.mod', 'Cargo.toml', 'pom.xml', 'build.gradle.kts', 'App.csproj', 'All.sln', 'Gemfile', 'requirements.txt', 'global.json', 'README.md']) as m)),
+m as (select regexp_replace(path, '/?[^/]*$', '') as dir, split_part(path, '/', -1) as f from p)
+select dir as path, case when f in ('pyproject.toml', 'setup.py', 'setup.cfg', 'Pipfile') then 'python' when f = 'tsconfig.json' then 'typescript' when f = 'package.json' then 'javascript' when f = 'go.mod' then 'go'
+  when f = 'Cargo.toml' then 'rust' when f in ('pom.xml', 'build.gradle', 'build.gradle.kts') then 'java' when f like '%.csproj' or f like '%.sln' then 'dotnet' when f = 'Gemfile' then 'ruby' end as language, min(f) as marker_file
+from m where not regexp_matches('/' || dir || '/', '/([.]venv|venv|[.]env|env|node_modules|[.]git|[.]hg|[.]svn|__pycache__|[.]mypy_cache|[.]pytest_cache|[.]ruff_cache|[.]tox|[.]nox|site-packages|dist|build|[.]eggs|obj|bin)/')
+group by 1, 2 having language is not null""",
     "change_summary": "select 'src/f' || user_id || '.py' as path, arg_max(event_type, {'a': ts, 'b': event_id}) as change_type, count(*) as n from events group by 1",
     "snapshot_changes": """with b as (select o_orderkey::varchar as path, o_totalprice as s from orders where o_orderkey % 11 <> 0), n as (select o_orderkey::varchar as path, case when o_orderkey % 7 = 0 then o_totalprice + 1 else o_totalprice end as s from orders where o_orderkey % 13 <> 0)
 select * from (select case when b.s is null then 'added' when n.s is null then 'deleted' when b.s <> n.s then 'modified' end as change_type, path from b full join n using (path)) where change_type is not null""",

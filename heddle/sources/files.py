@@ -12,8 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from heddle.functions import scalars as S
 from heddle.operators import parsing
 
-# Files that mark a project root, with its language.
-MARKERS = {"pyproject.toml": "python", "setup.py": "python", "requirements.txt": "python", "package.json": "typescript", "tsconfig.json": "typescript", "go.mod": "go", "Cargo.toml": "rust", "pom.xml": "java", "build.gradle": "java", "global.json": "csharp"}
+# Files that mark a project root, by language; a star stands for any name.
+MARKERS = {
+    "python": ["pyproject.toml", "setup.py", "setup.cfg", "Pipfile"],
+    "typescript": ["tsconfig.json"],
+    "javascript": ["package.json"],
+    "go": ["go.mod"],
+    "rust": ["Cargo.toml"],
+    "java": ["pom.xml", "build.gradle", "build.gradle.kts"],
+    "dotnet": ["*.csproj", "*.sln"],
+    "ruby": ["Gemfile"],
+}
+# Directories in which no project is looked for.
+NO_PROJECTS = [".venv", "venv", ".env", "env", "node_modules", ".git", ".hg", ".svn", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", "site-packages", "dist", "build", ".eggs", "obj", "bin"]
 # Directories that are never walked into.
 SKIP_DIRS = {".git"}
 
@@ -134,10 +145,17 @@ def scan_bulk(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFra
 
 
 def project_roots(files: DataFrame) -> DataFrame:
-    """(path, language, marker_file): each folder with a marker file, one row per folder and language."""
-    m = F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])
+    """(path, language, marker_file): each folder with a marker file, one row per folder and language.
+
+    Nested projects stay; what lies below a folder of installed packages or build output is
+    none. Of several markers of a language the first by name counts.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    hit = files.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), name.alias("marker_file"), F.try_element_at(m, name).alias("language")).where("language is not null")
+    marker = lambda m: name.endswith(m[1:]) if m.startswith("*") else name == m
+    found = [F.when(S._any([marker(m) for m in ms]), F.lit(language)) for language, ms in MARKERS.items()]
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    hit = files.where(~F.arrays_overlap(F.split(folder, "/"), F.array(*map(F.lit, NO_PROJECTS))))
+    hit = hit.select(folder.alias("dir"), name.alias("marker_file"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("language"))
     return hit.groupBy(F.col("dir").alias("path"), "language").agg(F.min("marker_file").alias("marker_file"))
 
 
