@@ -107,6 +107,7 @@ class ScanSummary:
 
     counts: dict[str, int] = field(default_factory=dict)
     errors: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
 
     @property
     def success(self) -> bool:
@@ -116,7 +117,7 @@ class ScanSummary:
 Stage = Callable[[DataFrame, ScanSummary], DataFrame]
 
 
-def run_pipeline(fresh: DataFrame, prior: DataFrame | None, occurrences: DataFrame | None, prior_edges: DataFrame | None = None, stages: list[Stage] = (), embedder=stub_vectors, summariser=stub_summaries) -> tuple[DataFrame, DataFrame, ScanSummary]:
+def run_pipeline(fresh: DataFrame, prior: DataFrame | None, occurrences: DataFrame | None, prior_edges: DataFrame | None = None, stages: list[Stage] = (), embedder=stub_vectors, summariser=stub_summaries, enabled_categories: list[str] | None = None, prior_meta: dict | None = None, meta: dict | None = None, force: bool = False) -> tuple[DataFrame, DataFrame, ScanSummary]:
     """(nodes, edges, summary): carry forward, summarise, embed, resolve references, store.
 
     fresh: freshly parsed nodes; prior: nodes of the last run or None. Extra stages run on
@@ -126,8 +127,12 @@ def run_pipeline(fresh: DataFrame, prior: DataFrame | None, occurrences: DataFra
     nodes = graph.upsert_nodes(fresh).drop("first_seq")
     if prior is not None:
         nodes = inc.carry_embeddings(inc.carry_summaries(nodes, prior).drop("carried"), prior).drop("carried")
+    if meta is not None:
+        nodes, difference = inc.guard(nodes, prior_meta, meta, force)
+        if difference:
+            s.warnings.append(difference)
     nodes = keep(nodes, "merged")
-    done = keep(summarise(nodes.where(~F.coalesce(inc.self_documenting(), F.lit(False))), summariser), "summaries")
+    done = keep(summarise(nodes.where(inc.wants_summary(enabled_categories)), summariser), "summaries")
     for r in done.groupBy(F.split_part("status", F.lit(":"), F.lit(1)).alias("k")).count().collect():  # a handful of kinds
         s.counts[f"summaries_{r['k']}"] = r["count"]
     if s.counts.get("summaries_error"):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from heddle.operators import rounds
+from heddle.session import keep
 
 
 def versions(nodes: DataFrame) -> DataFrame:
@@ -55,21 +55,43 @@ def parents(edges: DataFrame) -> DataFrame:
     return edges.where("edge_type is null").groupBy(F.col("dst").alias("node_id")).agg(F.min_by("src", "edge_seq").alias("parent_id"))
 
 
-def ancestors(start: DataFrame, up: DataFrame, most: int = 1000) -> DataFrame:
-    """(node_id, ancestor_id, depth) of the start ids, walking ``up`` (node_id, parent_id).
+def ancestors(start: DataFrame, up: DataFrame) -> DataFrame:
+    """(node_id, ancestor_id, depth) of the start ids along ``up`` (node_id, parent_id; one parent a node).
 
-    Only the start nodes' own chains are walked, a level a round; a chain that closes
-    on itself ends before it repeats an id.
+    Jumps of 1, 2, 4 ... levels are joined to what is known, so a chain of any length takes as
+    many rounds as its length has binary digits; the first DOUBLINGS of them are one plan.  A
+    chain that closes on itself ends before it repeats an id.
     """
-    step_up = up.select(F.col("node_id").alias("at"), F.col("parent_id").alias("above"))
-    first = start.select("node_id", F.col("node_id").alias("cur"), F.array("node_id").alias("seen"), F.lit(0).alias("depth"))
-
-    def step(last: DataFrame) -> DataFrame:
-        nxt = last.join(step_up, F.col("cur") == F.col("at")).where(~F.array_contains("seen", F.col("above")))
-        return nxt.select("node_id", F.col("above").alias("cur"), F.array_append("seen", F.col("above")).alias("seen"), (F.col("depth") + 1).cast("int").alias("depth"))
-
-    done = rounds.union(rounds.walk(first, step, "up", most, single=1))
-    return done.select("node_id", F.col("cur").alias("ancestor_id"), "depth")
+    jump = up.where("parent_id is not null").select(F.col("node_id").alias("at"), F.col("parent_id").alias("to"))
+    known = start.select("node_id").where("node_id is not null").distinct().select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    reach = 1
+    while True:
+        further = known.join(jump, F.col("ancestor_id") == F.col("at")).select("node_id", F.col("to").alias("ancestor_id"), (F.col("depth") + reach).cast("int").alias("depth"))
+        known = known.unionByName(further)
+        reach *= 2
+        if reach >= 1 << DOUBLINGS:
+            # on a closed chain an ancestor is met again: its first distance stays
+            known = keep(known.groupBy("node_id", "ancestor_id").agg(F.min("depth").alias("depth")), "ancestors")
+            if known.where(F.col("depth") >= reach // 2).isEmpty():
+                return known.where("depth > 0")
+            jump = keep(_twice(jump), "jumps")
+        else:
+            jump = _twice(jump)
+
+
+#: Rounds of jumps that make up the first job of ancestors: chains below 2^DOUBLINGS levels need no more.
+DOUBLINGS = 3
+
+
+def _twice(jump: DataFrame) -> DataFrame:
+    further = jump.select(F.col("at").alias("to"), F.col("to").alias("beyond"))
+    return jump.join(further, "to").select("at", F.col("beyond").alias("to"))
+
+
+def node(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The last version of one node, or no row; the filter reaches the scan."""
+    hit = nodes.where(F.col("node_id") == node_id)
+    return hit.orderBy(F.col("node_seq").desc()).limit(1)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -46,6 +46,28 @@ def self_documenting() -> Column:
     return (F.col("content_type") == "content") & (F.col("category") == "section") & F.col("language").isin("markdown", "rst")
 
 
+def wants_summary(enabled_categories: list[str] | None = None) -> Column:
+    """Nodes that are summarised: no sections of prose, and only the enabled categories if any are named."""
+    wanted = ~F.coalesce(self_documenting(), F.lit(False))
+    return wanted & F.col("category").isin(enabled_categories) if enabled_categories else wanted
+
+
+class DimensionError(ValueError):
+    """Stored vectors have another length than new ones would."""
+
+
+def guard(nodes: DataFrame, prior: dict | None, current: dict, force: bool = False) -> tuple[DataFrame, str | None]:
+    """(nodes, warning): another number of dimensions than before is an error, or, if forced, empties all
+    stored vectors; other differences only warn."""
+    difference = metadata_mismatch(prior or {}, current)
+    if prior and prior.get("embedding_dimensions", current.get("embedding_dimensions")) != current.get("embedding_dimensions"):
+        if not force:
+            raise DimensionError(difference)
+        vectors = {c: F.lit(None).cast(nodes.schema[c].dataType) for c in ("embedding", "smart_content_embedding", "embedding_hash") if c in nodes.columns}
+        return nodes.withColumns(vectors), difference
+    return nodes, difference
+
+
 def carry_summaries(current: DataFrame, prior: DataFrame) -> DataFrame:
     """Copy summary, its hash, vectors and leading context from the prior node of the same hash;
     without a prior summary only vectors and leading context."""

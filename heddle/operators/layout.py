@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from heddle.functions import scalars as S
 from heddle.operators.chunking import mean_vector
-from heddle.session import only_row
+from heddle.operators import rounds
+from heddle.session import keep, only_row
 
 CANVAS = 5000.0
 SALTS = 16
@@ -113,28 +114,106 @@ def place_rest(nodes: DataFrame, points: DataFrame, reach: float = 30.0) -> Data
     return j.select("node_id", F.when(F.col("pid").isNotNull(), F.col("px") + shift(1)).otherwise(0.0).alias("x"), F.when(F.col("pid").isNotNull(), F.col("py") + shift(2)).otherwise(0.0).alias("y"))
 
 
-def treemap(folders: DataFrame, canvas: float = 1000.0, levels: int = 4, padding: float = 0.03) -> DataFrame:
-    """(folder, depth, x, y, w, h): a folder's rectangle is sliced among its subfolders by their
-    counts, along the longer side, inside a padding; one join a level.
+#: Share of a cell left free around and between folders; least distance of nodes in a cell.
+PADDING, GAP = 0.03, 18.0
 
-    folders: (folder, depth, n_total) as of tree.folders.
+
+def folder_items(nodes: DataFrame) -> DataFrame:
+    """(up, folder, depth, weight, local): what each folder's rectangle is shared among: the nodes of its own
+    files as one item (local), first, then its subfolders by name. nodes: (node_id, file_path); "" is the top."""
+    n = nodes.select(F.split(F.coalesce("file_path", F.lit("")), "/").alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    own = n.select(F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - 1)).alias("dir"), "n").groupBy("dir").agg(F.sum("n").alias("n"))
+    name = lambda k: F.array_join(F.slice("dir", 1, k), "/")
+    local = own.select(name(F.size("dir")).alias("up"), F.lit(None).cast("string").alias("folder"), F.size("dir").alias("depth"), F.col("n").alias("weight"))
+    chain = own.where("size(dir) > 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("dir")), lambda k: F.struct(name(k - 1).alias("up"), name(k).alias("folder"), (k - 1).alias("depth")))).alias("c"), "n")
+    below = chain.groupBy("c.up", "c.folder", "c.depth").agg(F.sum("n").alias("weight"))
+    return local.unionByName(below).withColumn("local", F.col("folder").isNull())
+
+
+def rectangles(nodes: DataFrame, canvas: float = 1000.0) -> DataFrame:
+    """(up, folder, depth, local, x, y, w, h): the rectangle of every item of folder_items, at every depth.
+
+    A folder is cut along its longer side by the items' weights; a level of folders a join.
+    """
+    w = Window.partitionBy("up").orderBy(F.col("local").desc(), "folder")
+    whole = Window.partitionBy("up")
+    items = keep(folder_items(nodes).withColumns({
+        "before": F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "at": F.row_number().over(w) - 1, "total": F.sum("weight").over(whole), "n": F.count("*").over(whole),
+    }), "items")
+    deepest = items.agg(F.max("depth")).first()[0]
+    area = nodes.sparkSession.createDataFrame([("", 0.0, 0.0, canvas, canvas)], "pf string, px double, py double, pw double, ph double")
+    out = []
+    for depth in range((-1 if deepest is None else deepest) + 1):
+        j = items.where(F.col("depth") == depth).join(area, F.col("up") == F.col("pf"))
+        wide, pad_x, pad_y = F.col("pw") >= F.col("ph"), F.col("pw") * PADDING, F.col("ph") * PADDING
+        side, pad = F.when(wide, F.col("pw")).otherwise(F.col("ph")), F.when(wide, pad_x).otherwise(pad_y)
+        room = side - pad * (F.col("n") - 1)
+        room, gap = F.when(room > 0, room).otherwise(side), F.when(room > 0, pad).otherwise(0.0)
+        offset = room * F.col("before") / F.col("total") + gap * F.col("at")
+        length = room * F.col("weight") / F.col("total")
+        level = keep(j.select(
+            "up", "folder", "depth", "local",
+            (F.col("px") + pad_x + F.when(wide, offset).otherwise(0.0)).alias("x"), (F.col("py") + pad_y + F.when(wide, 0.0).otherwise(offset)).alias("y"),
+            F.when(wide, length).otherwise(F.col("pw") - pad_x * 2).alias("w"), F.when(wide, F.col("ph") - pad_y * 2).otherwise(length).alias("h"),
+        ).where("w > 0 and h > 0"), "rectangles")
+        out.append(level)
+        area = level.where("not local").select(F.col("folder").alias("pf"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("w").alias("pw"), F.col("h").alias("ph"))
+    return rounds.union(out) if out else items.select("up", "folder", "depth", "local", *(F.lit(0.0).alias(c) for c in "xywh"))
+
+
+def treemap(nodes: DataFrame, canvas: float = 1000.0) -> DataFrame:
+    """(node_id, x, y, size): the nodes of a folder's own files on a grid inside its rectangle, by path and
+    start line; ranks are taken per file and then across the files of a folder.
+
+    nodes: (node_id, file_path, start_line, end_line), one row a node.
     """
-    f = folders.select("folder", "depth", "n_total", F.when(F.col("depth") > 1, F.concat(F.array_join(F.slice(F.split("folder", "/"), 1, F.col("depth") - 1), "/"), F.lit("/"))).otherwise("").alias("up"))
-    w = Window.partitionBy("up").orderBy(F.col("n_total").desc(), "folder")
-    f = f.withColumn("before", F.coalesce(F.sum("n_total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n_total").over(Window.partitionBy("up")))
-    spark = folders.sparkSession
-    area = spark.createDataFrame([("", 0.0, 0.0, canvas, canvas)], "folder string, x double, y double, w double, h double")
-    out = None
-    for depth in range(1, levels + 1):
-        a = area.select(F.col("folder").alias("pf"), "x", "y", "w", "h")
-        j = f.where(F.col("depth") == depth).join(a, F.col("up") == F.col("pf"))
-        lo, share, wide = F.col("before") / F.col("all"), F.col("n_total") / F.col("all"), F.col("w") >= F.col("h")
-        x = F.when(wide, F.col("x") + F.col("w") * lo).otherwise(F.col("x"))
-        y = F.when(wide, F.col("y")).otherwise(F.col("y") + F.col("h") * lo)
-        width = F.when(wide, F.col("w") * share).otherwise(F.col("w"))
-        height = F.when(wide, F.col("h")).otherwise(F.col("h") * share)
-        area = j.select("folder", "depth", x.alias("x0"), y.alias("y0"), width.alias("w0"), height.alias("h0")).select(
-            "folder", "depth", (F.col("x0") + F.col("w0") * padding).alias("x"), (F.col("y0") + F.col("h0") * padding).alias("y"), (F.col("w0") * (1 - 2 * padding)).alias("w"), (F.col("h0") * (1 - 2 * padding)).alias("h")
-        )
-        out = area if out is None else out.unionByName(area)
-    return out
+    path = F.coalesce("file_path", F.lit(""))
+    n = nodes.select("node_id", path.alias("file"), F.regexp_replace(F.regexp_extract(path, "^(.*)/[^/]*$", 1), "/+$", "").alias("dir"), "start_line", "end_line")
+    files = n.groupBy("dir", "file").agg(F.count("*").alias("c"))
+    by_file = Window.partitionBy("dir").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("dir", "file", F.coalesce(F.sum("c").over(by_file), F.lit(0)).alias("base"), F.sum("c").over(Window.partitionBy("dir")).alias("n"))
+    within = F.row_number().over(Window.partitionBy("dir", "file").orderBy(F.coalesce("start_line", F.lit(0)), "node_id")) - 1
+    ranked = n.withColumn("within", within).join(files, ["dir", "file"]).withColumn("i", F.col("base") + F.col("within"))
+    cell = rectangles(nodes, canvas).where("local").select(F.col("up").alias("dir"), "x", "y", "w", "h")
+    j = ranked.join(cell, "dir")
+    one = F.lit(1).cast("long")
+    fit = lambda c: F.greatest(one, F.floor(F.col(c) / GAP))
+    j = j.withColumn("c0", F.greatest(one, F.least(F.ceil(F.sqrt(F.col("n"))), fit("w")))).withColumn("r0", F.greatest(one, F.least(F.ceil(F.col("n") / F.col("c0")), fit("h"))))
+    more = (F.col("c0") * F.col("r0") < F.col("n")) & (F.col("c0") < fit("w"))
+    j = j.withColumn("cols", F.when(more, F.col("c0") + 1).otherwise(F.col("c0"))).withColumn("rows", F.when(more, F.ceil(F.col("n") / F.col("cols"))).otherwise(F.col("r0")))
+    over = F.greatest(F.lit(0), F.col("i") - F.col("cols") * F.col("rows") + 1)
+    col = F.when(over > 0, F.col("cols") - 1).otherwise(F.col("i") % F.col("cols"))
+    row = F.when(over > 0, F.col("rows") - 1).otherwise(F.floor(F.col("i") / F.col("cols")))
+    return j.select(
+        "node_id", F.round(F.col("x") + (col + 0.5) * F.col("w") / F.col("cols") + over * 2, 2).alias("x"), F.round(F.col("y") + (row + 0.5) * F.col("h") / F.col("rows") + over * 2, 2).alias("y"),
+        F.round(S.line_size(F.col("start_line"), F.col("end_line")), 2).alias("size"),
+    )
+
+
+#: Terms of the fallback for nodes without vectors, and characters of a text that they are taken from
+#: (the feature is defined on these).
+TERMS, TERM_CHARS = 500, 500
+
+
+def term_vectors(nodes: DataFrame) -> DataFrame:
+    """(node_id, embedding): weights of the most frequent identifiers of name, signature and the beginning of
+    the content, as one vector a node; stands in where fewer than half of the nodes have vectors."""
+    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+
+    text = F.concat_ws(" ", "name", "signature", F.substring("content", 1, TERM_CHARS))
+    words = nodes.select("node_id", F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z_][A-Za-z0-9_]{2,})"), 1), lambda t: F.lower(t)).alias("words"))
+    counts = CountVectorizer(inputCol="words", outputCol="tf", vocabSize=TERMS).fit(words).transform(words)
+    weighted = IDF(inputCol="tf", outputCol="w").fit(counts).transform(counts)
+    v = Normalizer(inputCol="w", outputCol="v").transform(weighted)
+    return v.select("node_id", F.array(vector_to_array("v")).alias("embedding"))
+
+
+def points(nodes: DataFrame, dim: int = 64) -> DataFrame:
+    """(node_id, x, y): project() by vectors, or by term_vectors where fewer than half of the nodes have any."""
+    have = only_row(nodes.agg(F.count("*").alias("n"), F.count_if(F.size("embedding") > 0).alias("v")))
+    if have["v"] * 2 >= have["n"]:
+        return project(nodes, dim)
+    terms = keep(term_vectors(nodes), "terms")
+    width = terms.select(F.size(F.col("embedding")[0]).alias("w")).first()
+    return project(terms, width["w"] if width else dim)

@@ -122,22 +122,54 @@ def serialise_edges(edges: DataFrame) -> DataFrame:
     return e.join(off, "block").select(F.concat(F.lit("e-"), idx.cast("string")).alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"), F.when(ref, "#f59e0b").otherwise("#334155").alias("color"), (~ref).alias("hidden"))
 
 
-def report_metadata(nodes: DataFrame, edges: DataFrame, project: str = "project") -> DataFrame:
-    """One row: project, node and edge counts by kind, categories as text."""
+def report_metadata(nodes: DataFrame, edges: DataFrame, project: str = "project", clustered: bool = False) -> DataFrame:
+    """One row: project, node and edge counts by kind, categories as text, whether callables were clustered."""
     c = nodes.groupBy("category").agg(F.count("*").alias("n"))
     cats = c.agg(F.sum("n").alias("node_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "n"))), lambda x: F.concat(x["category"], F.lit("="), x["n"].cast("string"))), ",").alias("categories"))
     e = only_row(edges.agg(F.count("*").alias("edges"), F.count_if(F.col("edge_type") == "references").alias("references")))
-    return cats.select(F.lit(project).alias("project"), "node_count", F.lit(e["edges"]).cast("long").alias("edge_count"), F.lit(e["references"]).cast("long").alias("reference_count"), "categories")
+    return cats.select(F.lit(project).alias("project"), "node_count", F.lit(e["edges"]).cast("long").alias("edge_count"), F.lit(e["references"]).cast("long").alias("reference_count"), "categories", F.lit(clustered).alias("clustered"))
 
 
-def write_html(nodes: DataFrame, edges: DataFrame, meta: DataFrame, path: str, most: int = 10_000) -> None:
-    """Write a self-contained page with at most ``most`` nodes as JSON, and the edges between them."""
+_PAGE = """<script>
+const c=document.getElementById('c'),g=c.getContext('2d'),at=new Map(nodes.map(n=>[n.node_id,n]));
+let k=1,dx=0,dy=0;const X=n=>(n.x+dx)*k,Y=n=>(n.y+dy)*k;
+function draw(){c.width=innerWidth;c.height=innerHeight;g.lineWidth=.5;
+for(const e of edges){const a=at.get(e.source),b=at.get(e.target);if(!a||!b||e.hidden)continue;g.strokeStyle=e.color;g.beginPath();g.moveTo(X(a),Y(a));g.lineTo(X(b),Y(b));g.stroke()}
+for(const n of nodes){g.fillStyle='#60a5fa';g.beginPath();g.arc(X(n),Y(n),Math.max(1,n.size*k/4),0,7);g.fill()}}
+onwheel=e=>{k*=e.deltaY<0?1.1:.9;draw()};onmousemove=e=>{if(e.buttons){dx+=e.movementX/k;dy+=e.movementY/k;draw()}};onresize=draw;draw();
+</script>"""
+
+
+def write_html(nodes: DataFrame, edges: DataFrame, meta: DataFrame, path: str) -> int:
+    """Write a self-contained page that draws the graph; gives the number of nodes.
+
+    nodes: (node_id, x, y, size, ...); edges as of serialise_edges. Every row is written, as it
+    comes from the partitions; bring large graphs under a limit with cluster_callables.
+    """
     import html
     import json
 
-    shown = nodes.orderBy("node_id").limit(most)
-    pairs = edges.join(shown.select(F.col("node_id").alias("src")), "src", "left_semi").join(shown.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst", "edge_type").limit(10 * most)
-    data = {"nodes": [json.loads(r) for r in shown.toJSON().collect()], "edges": [json.loads(r) for r in pairs.toJSON().collect()], "meta": meta.first().asDict()}
-    body = json.dumps(data, ensure_ascii=False, default=str).replace("</", "<\\/")
+    head = meta.first().asDict()
+    n = 0
     with open(path, "w", encoding="utf-8") as f:
-        f.write(f"<!doctype html><meta charset=utf-8><title>{html.escape(str(data['meta'].get('project', '')))}</title><pre id=o></pre><script>const graph={body};document.getElementById('o').textContent=graph.nodes.length+' nodes, '+graph.edges.length+' edges'</script>\n")
+        f.write(f"<!doctype html><meta charset=utf-8><title>{html.escape(str(head.get('project', '')))}</title><canvas id=c></canvas><script>const meta=")
+        f.write(json.dumps(head, ensure_ascii=False, default=str).replace("</", "<\\/"))
+        for name, df in (("nodes", nodes), ("edges", edges)):
+            f.write(f";\nconst {name}=[")
+            for k, row in enumerate(df.select(F.to_json(F.struct(*df.columns)).alias("r")).toLocalIterator()):
+                f.write(("," if k else "") + row["r"].replace("</", "<\\/"))
+                n += name == "nodes"
+            f.write("]")
+        f.write(";</script>" + _PAGE + "\n")
+    return n
+
+
+def report_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, name, category, file_path, start_line, end_line, signature, smart_content, x, y, size, depth,
+    is_entry_point): what a page shows of each node, no text or vectors of it."""
+    from heddle.operators import layout
+
+    shown = nodes.select("node_id", "name", "category", "file_path", "start_line", "end_line", "signature", "smart_content")
+    at = layout.treemap(nodes)
+    metrics = node_metrics(nodes, edges).select("node_id", "is_entry_point")
+    return shown.join(at, "node_id").join(metrics, "node_id").join(node_depth(nodes), "node_id")

@@ -19,7 +19,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def walk(start: DataFrame, step: Callable[[DataFrame], DataFrame], label: str, most: int = 1_000_000, single: int = SINGLE, after_single: Callable[[list[DataFrame]], Callable[[DataFrame], DataFrame]] | None = None) -> list[DataFrame]:
+def walk(start: DataFrame, step: Callable[[DataFrame], DataFrame], label: str, most: int | None = None, single: int = SINGLE, after_single: Callable[[list[DataFrame]], Callable[[DataFrame], DataFrame]] | None = None) -> list[DataFrame]:
     """Kept levels below ``start`` (column depth, from 0): step gives the next level from the last.
 
     Each job's levels are written to the shared folder, so that the next reads only the
@@ -27,10 +27,11 @@ def walk(start: DataFrame, step: Callable[[DataFrame], DataFrame], label: str, m
     """
     done: list[DataFrame] = []
     frontier, depth = start, 0
-    while depth < most:
+    while most is None or depth < most:
         if depth == single and after_single is not None:
             step = after_single(done)
-        count = min(1 if depth < single else TOGETHER, most - depth)
+        count = 1 if depth < single else TOGETHER
+        count = count if most is None else min(count, most - depth)
         chain, cur = [], frontier
         for _ in range(count):
             cur = step(cur)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from heddle.functions import scalars as S
@@ -149,7 +150,8 @@ def hits_of(nodes: DataFrame, edges: DataFrame, spec: QuerySpec, mode: str, quer
     if mode == "semantic":
         found = match_semantic(nodes, query_vector or [], spec.min_similarity)
     else:
-        found = match_regex(nodes, S.literal_regex(spec.pattern) if mode == "text" else spec.pattern)
+        tried = within_time(nodes, spec.pattern) if mode == "regex" and may_explode(spec.pattern) else nodes
+        found = match_regex(tried, S.literal_regex(spec.pattern) if mode == "text" else spec.pattern)
     found = graph.current_only(_path_filters(spec, found), nodes)
     return parent_penalty(keep(found, "hits"), edges, penalty)
 
@@ -166,6 +168,48 @@ def search(nodes: DataFrame, edges: DataFrame, spec: QuerySpec, query_vector: li
     return page(hits_of(nodes, edges, spec, mode, query_vector, penalty), spec)
 
 
+#: Columns of a hit; ``max`` adds the others, null where they do not apply.
+MIN_COLUMNS = ["node_id", "start_line", "end_line", "match_start_line", "match_end_line", "smart_content", "snippet", "score", "match_field"]
+MAX_COLUMNS = [*MIN_COLUMNS, "content", "matched_lines", "chunk_index", "chunk_offset"]
+
+
+def project_hits(shown: DataFrame, nodes: DataFrame, detail: str = "min") -> DataFrame:
+    """A page of hits with 9 columns (``min``) or 13 (``max``); matched_lines only for text and regular expressions."""
+    texts = nodes.select(F.col("node_id").alias("nid"), F.col("node_seq").alias("seq"), "smart_content", "content")
+    rows = shown.join(texts, (shown.node_id == texts.nid) & (shown.node_seq == texts.seq)).drop("nid", "seq")
+    lines = F.sequence(F.col("match_start_line"), F.col("match_end_line"))
+    rows = rows.withColumn("matched_lines", F.when(F.col("chunk_index").isNull() & (F.col("match_end_line") >= F.col("match_start_line")), lines))
+    return rows.select("first_seq", *(MAX_COLUMNS if detail == "max" else MIN_COLUMNS))
+
+
+_NESTED = re.compile(r"\((?:[^()\\]|\\.)*[+*}](?:[^()\\]|\\.)*\)[+*{]|\((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*\)[+*{]")
+
+
+def may_explode(pattern: str) -> bool:
+    """Whether a repeated group holds a repetition or a choice, which can take exponential time."""
+    return bool(_NESTED.search(pattern))
+
+
+def within_time(nodes: DataFrame, pattern: str, seconds: float = 2.0) -> DataFrame:
+    """The nodes with the fields that a pattern can be tried on: a field whose search takes longer
+    than ``seconds`` is emptied, as if it did not match."""
+    import regex
+
+    known = regex.compile(pattern)
+
+    @F.pandas_udf("boolean")
+    def in_time(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> bool:
+            try:
+                return bool(text) and known.search(text, timeout=seconds) is not None
+            except TimeoutError:
+                return False
+
+        return texts.map(one)
+
+    return nodes.withColumns({c: F.when(in_time(F.col(c)), F.col(c)) for c in FIELDS if c != "node_id"})
+
+
 def folder_distribution(ids: DataFrame, drill: float = 0.9) -> DataFrame:
     """(folder, n): by first path part; a part that holds ``drill`` or more of all is split by the second."""
     path = S.file_path(F.col("node_id"))
@@ -177,6 +221,14 @@ def folder_distribution(ids: DataFrame, drill: float = 0.9) -> DataFrame:
     return small.groupBy(name.alias("folder")).agg(F.sum("n").cast("long").alias("n"))
 
 
+def tool_envelope(hits: DataFrame, shown: DataFrame, spec: QuerySpec) -> DataFrame:
+    """The envelope of tools: that of :func:`envelope` with the filters and, if there are any, how many
+    hits they left."""
+    filtered = F.lit(hits.count()).cast("long") if spec.include or spec.exclude else F.lit(None).cast("long")
+    text = lambda xs: F.array(*map(F.lit, xs)) if xs else F.lit(None).cast("array<string>")
+    return envelope(hits, shown, spec).withColumns({"include": text(spec.include), "exclude": text(spec.exclude), "filtered": filtered})
+
+
 def envelope(hits: DataFrame, shown: DataFrame, spec: QuerySpec) -> DataFrame:
     """One row: total, showing, offset, limit, folders as a map."""
     folders = folder_distribution(hits).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("folder", "n")))).alias("folders"))

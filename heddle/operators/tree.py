@@ -62,13 +62,31 @@ def expand(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int
         nxt = last.join(links, F.col("node_id") == F.col("up")).where(~F.array_contains("path", F.col("child")))
         return nxt.select("root_id", F.col("child").alias("node_id"), (F.col("depth") + 1).cast("int").alias("depth"), F.array_append("path", F.col("child")).alias("path"), F.array_append("sort_path", sort_key).alias("sort_path"))
 
-    below = rounds.walk(level, step, "tree", most=max_depth - 1 if max_depth else 1_000_000) if max_depth != 1 else []
+    below = rounds.walk(level, step, "tree", most=max_depth - 1 if max_depth else None) if max_depth != 1 else []
     out = rounds.union([level, *below])
     counts = links.groupBy(F.col("up").alias("cid")).agg(F.count("*").alias("n"))
     hidden = F.when(F.lit(max_depth > 0) & (F.col("depth") + 1 >= max_depth), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.join(counts, out.node_id == counts.cid, "left").select("root_id", "node_id", "depth", "path", "sort_path", hidden.alias("hidden_children"))
 
 
+def node_count(tree: DataFrame) -> DataFrame:
+    """One row: the nodes shown in a tree, and those that its depth limit hides."""
+    return tree.agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum("hidden_children"), F.lit(0)).cast("long").alias("n_hidden"))
+
+
+def project(tree: DataFrame, nodes: DataFrame, edges: DataFrame, detail: str = "min") -> DataFrame:
+    """Rows of a tree with six columns of their node (``min``); ``max`` adds signature, summary and the
+    number of references into it, null where there is none."""
+    cols = ["name", "category", "start_line", "end_line"] + (["signature", "smart_content"] if detail == "max" else [])
+    n = nodes.groupBy("node_id").agg(F.max_by(F.struct(*cols), "node_seq").alias("n"))
+    rows = tree.join(n, "node_id").select("root_id", "node_id", "depth", "sort_path", *(F.col(f"n.{c}").alias(c) for c in cols), F.when(F.col("hidden_children") > 0, F.col("hidden_children")).alias("hidden_children_count"))
+    if detail != "max":
+        return rows
+    refs = edges.where("edge_type = 'references'").groupBy(F.col("dst").alias("ref")).agg(F.count("*").alias("ref_count"))
+    blank = lambda c: F.when(F.length(c) > 0, F.col(c))
+    return rows.join(refs, rows.node_id == refs.ref, "left").drop("ref").withColumn("signature", blank("signature")).withColumn("smart_content", blank("smart_content"))
+
+
 def render(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     """(root_id, sort_path, line): box-drawn lines; a row knows whether it is the last child by looking ahead."""
     n = nodes.groupBy("node_id").agg(F.max_by(F.struct("start_line", "end_line"), "node_seq").alias("at"))

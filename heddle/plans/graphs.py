@@ -69,6 +69,27 @@ def tree_full(spark: SparkSession, d: str) -> DataFrame:
     return t.expand(roots, n, _edges(spark, d)).select("root_id", "node_id", "depth", F.array_join("path", " > ").alias("path"), "hidden_children")
 
 
+def tree_max(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of tree_of_folder with signature, summary and references."""
+    n = table(spark, d, "code_nodes", *NARROW, "signature", "smart_content")
+    roots = keep(t.root_bucket(t.filter_nodes(n, "lanternfs/"), n), "roots")
+    e = keep(_edges(spark, d), "edges")
+    return t.project(t.expand(roots, n, e, 3), n, e, "max").drop("sort_path")
+
+
+def tree_size(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the full tree below all Python files."""
+    n = _nodes(spark, d)
+    return t.node_count(t.expand(keep(t.root_bucket(t.filter_nodes(n, "*.py"), n), "roots"), n, _edges(spark, d)))
+
+
+def node_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The node of the smallest id by its id, and one that does not exist."""
+    n = _nodes(spark, d)
+    least = n.agg(F.min("node_id")).first()[0]
+    return g.node(n, least or "").unionByName(g.node(n, "callable:none")).select("node_id", "node_seq", "category", "start_line")
+
+
 def tree_lines(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d)
     roots = keep(t.root_bucket(t.filter_nodes(n, "lanternfs/"), n), "roots")
@@ -107,7 +128,7 @@ def graph_statistics(spark: SparkSession, d: str) -> DataFrame:
     return n.groupingSets([["language"], ["ts_kind"], ["language", "ts_kind"], ["category"], []], "language", "ts_kind", "category").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (upserted_nodes, upserted_edges, node_children, containment_children, node_parents, edges_of_node, ancestor_closure, root_bucket, tree_of_folder, tree_full, tree_lines, folder_counts, folder_view, degrees, relationship_lists, stored_edges, missing_parents, graph_statistics)}
+QUERIES = {f.__name__: f for f in (upserted_nodes, upserted_edges, node_children, containment_children, node_parents, edges_of_node, ancestor_closure, root_bucket, tree_of_folder, tree_full, tree_max, tree_size, node_lookup, tree_lines, folder_counts, folder_view, degrees, relationship_lists, stored_edges, missing_parents, graph_statistics)}
 
 E_ = f"""{CUR}, e as (select src, dst, min(edge_seq) as edge_seq, arg_max(edge_type, edge_seq) filter (where edge_type is not null) as edge_type
 from edges where src in (select node_id from v) and dst in (select node_id from v) group by 1, 2)"""
@@ -152,6 +173,11 @@ select node_id, anc as ancestor_id, depth from walk""",
     "root_bucket": f"with recursive {_bucket("contains(node_id, 'Store')")} select node_id from roots",
     "tree_of_folder": f"with recursive {E_}, {_bucket(f"starts_with({_PATH}, 'lanternfs/')")}, {_tree(3)} select root_id, node_id, depth, array_to_string(path, ' > ') as path, hidden_children from shown",
     "tree_full": f"with recursive {E_}, {_bucket("regexp_matches(node_id, '^.*.*\\.py.*$')")}, {_tree(0)} select root_id, node_id, depth, array_to_string(path, ' > ') as path, hidden_children from shown",
+    "tree_max": f"""with recursive {E_}, {_bucket(f"starts_with({_PATH}, 'lanternfs/')")}, {_tree(3)}, rf as (select dst, count(*) as ref_count from e where edge_type = 'references' group by 1)
+select root_id, s.node_id, depth, c.name, c.category, c.start_line, c.end_line, nullif(c.signature, '') as signature, nullif(c.smart_content, '') as smart_content, nullif(hidden_children, 0) as hidden_children_count, ref_count
+from shown s join cur c using (node_id) left join rf on rf.dst = s.node_id""",
+    "tree_size": f"with recursive {E_}, {_bucket("regexp_matches(node_id, '^.*.*\\.py.*$')")}, {_tree(0)} select count(*) as n_nodes, coalesce(sum(hidden_children), 0)::bigint as n_hidden from shown",
+    "node_lookup": f"with {CUR} select node_id, node_seq, category, start_line from cur where node_id in ((select min(node_id) from code_nodes), 'callable:none')",
     "folder_counts": f"with {_FOLDERS} select * from f",
     "folder_view": f"with {_FOLDERS} select folder, depth, case when depth >= 2 then n_total when depth + 1 >= 2 then n_total - n_direct - n_folders else 0 end::bigint as hidden_children from f where depth <= 2",
     "degrees": f"""with {E_}, x as (select src as node_id, 0 as i, 1 as o from e where edge_type = 'references' union all select dst, 1, 0 from e where edge_type = 'references')

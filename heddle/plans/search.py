@@ -60,6 +60,27 @@ def search_envelope(spark: SparkSession, d: str) -> DataFrame:
     return e.select("total", "showing", "offset", "limit", F.array_join(F.transform(F.array_sort(F.map_entries("folders")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("folders"))
 
 
+def search_max(spark: SparkSession, d: str) -> DataFrame:
+    """The page of search_text with all thirteen columns."""
+    hits = op.hits_of(nodes(spark, d), edges(spark, d), TEXT, "text")
+    return op.project_hits(op.page(hits, TEXT), nodes(spark, d), "max").select("node_id", F.round("score", 6).alias("score"), "smart_content", "content", F.size("matched_lines").alias("n_lines"), "chunk_index")
+
+
+SLOW = op.QuerySpec(r"def (?:[a-z]+_)+queue\b", "regex", limit=10_000_000)
+
+
+def search_regex_timed(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern whose repetition is nested, so that every search has a time limit."""
+    hits = op.hits_of(nodes(spark, d), edges(spark, d), SLOW, "regex", penalty=0.0)
+    return hits.select("node_id", F.round("score", 6).alias("score"), "match_field", "first_seq")
+
+
+def tool_envelope(spark: SparkSession, d: str) -> DataFrame:
+    hits = op.hits_of(nodes(spark, d), edges(spark, d), TEXT, "text", penalty=0.0)
+    e = op.tool_envelope(hits, op.page(hits, TEXT), TEXT)
+    return e.select("total", "showing", "filtered", F.array_join("include", "|").alias("include"), F.array_join("exclude", "|").alias("exclude"))
+
+
 def folder_distribution(spark: SparkSession, d: str) -> DataFrame:
     return op.folder_distribution(table(spark, d, "code_nodes", "node_id").distinct())
 
@@ -146,7 +167,7 @@ def node_projection(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (search_text, search_text_all, search_regex_all, search_semantic, search_envelope, folder_distribution, folder_drill, vector_coverage, glob_filters, node_scalars, languages, skip_summary, extension_summary, top_extensions, hash_embeddings, cosine_to_first, node_projection)}
+QUERIES = {f.__name__: f for f in (search_text, search_text_all, search_regex_all, search_semantic, search_envelope, search_max, search_regex_timed, tool_envelope, folder_distribution, folder_drill, vector_coverage, glob_filters, node_scalars, languages, skip_summary, extension_summary, top_extensions, hash_embeddings, cosine_to_first, node_projection)}
 
 CUR = """v as (select node_id, min(node_seq) as first_seq, max(node_seq) as last_seq from code_nodes where node_id is not null group by 1),
 cur as (select n.*, v.first_seq from code_nodes n join v on n.node_id = v.node_id and n.node_seq = v.last_seq)"""
@@ -322,6 +343,12 @@ b as (select *, row_number() over (partition by node_id order by s desc, raw des
 select node_id, round(s, 6) as score, case when raw = 1 then 'embedding' else 'smart_content_embedding' end as match_field, i::int as chunk_index from b where r = 1 and s >= 0.05""",
     "search_envelope": f"""with {CUR}, {_matched(_TEXT_PATTERN)}, ids as (select node_id from matched where match_field is not null and {_TEXT_FILTER}), {_FOLDERS}
 select (select count(*) from ids) as total, least(50, greatest(0, (select count(*) from ids) - 10)) as showing, 10 as "offset", 50 as "limit", (select string_agg(folder || '=' || n, ',' order by folder) from folders) as folders""",
+    "search_max": f"""with recursive {CUR}, {_matched(_TEXT_PATTERN)}, hits as (select * from matched where match_field is not null and {_TEXT_FILTER}), {PENALTY}{_LINES.format(p=_TEXT_PATTERN)},
+page as (select node_id, score, {_SHOWN} from ln order by score desc, first_seq limit 50 offset 10)
+select p.node_id, round(score, 6) as score, c.smart_content, c.content, case when match_end_line >= match_start_line then match_end_line - match_start_line + 1 end as n_lines, null::int as chunk_index from page p join cur c on c.node_id = p.node_id""",
+    "search_regex_timed": f"with {CUR}, {_matched(SLOW.pattern)} select node_id, round(raw, 6) as score, match_field, first_seq from matched where match_field is not null",
+    "tool_envelope": f"""with {CUR}, {_matched(_TEXT_PATTERN)}, ids as (select node_id from matched where match_field is not null and {_TEXT_FILTER})
+select count(*) as total, least(50, greatest(0, count(*) - 10)) as showing, count(*) as filtered, '\\.py' as include, 'vendor/|third_party/' as exclude from ids""",
     "folder_distribution": f"with ids as (select distinct node_id from code_nodes), {_FOLDERS} select folder, n from folders",
     "folder_drill": f"with ids as (select distinct node_id from code_nodes where {_PATH} like 'lanternfs/%'), {_FOLDERS} select folder, n from folders",
     "vector_coverage": """select count(*) as n_nodes, count(*) filter (where len(embedding) > 0 or len(smart_content_embedding) > 0) as n_with_vectors,

@@ -30,7 +30,7 @@ def project_markers(spark: SparkSession, d: str) -> DataFrame:
     paths = table(spark, d, "code_nodes", "file_path").distinct().select(F.col("file_path").alias("path"))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     invented = F.array(*map(F.lit, ["pyproject.toml", "setup.cfg", "Pipfile", "tsconfig.json", "package.json", "go.mod", "Cargo.toml", "pom.xml", "build.gradle.kts", "App.csproj", "All.sln", "Gemfile", "requirements.txt", "global.json", "README.md"]))
-    marks = paths.select(folder.alias("dir")).distinct().select(F.concat("dir", F.lit("/"), F.explode(invented)).alias("path"))
+    marks = paths.select(folder.alias("dir")).distinct().select("dir", F.explode(invented).alias("name")).select(F.concat("dir", F.lit("/"), "name").alias("path"))
     return files.project_roots(paths.unionByName(marks))
 
 
@@ -40,6 +40,12 @@ def change_summary(spark: SparkSession, d: str) -> DataFrame:
     return watch.collapse(e)
 
 
+def progress_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of each user's last twenty events, as if they were completions."""
+    e = table(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"))
+    return watch.progress(e, ["user_id"]).select("user_id", "seq", "n_done", F.round("rate", 9).alias("rate"))
+
+
 def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_totalprice").alias("stamp"), "o_orderkey")
     before = o.where("o_orderkey % 11 <> 0")
@@ -65,7 +71,7 @@ def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
     return done.where(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (markdown_sections, python_definitions, project_markers, change_summary, snapshot_changes, streamed_windows)}
+QUERIES = {f.__name__: f for f in (markdown_sections, python_definitions, project_markers, change_summary, progress_rates, snapshot_changes, streamed_windows)}
 
 ORACLE = {
     "project_markers": """with f as (select distinct file_path as path from code_nodes), dirs as (select distinct regexp_replace(path, '/?[^/]*$', '') as dir from f),
@@ -75,6 +81,8 @@ select dir as path, case when f in ('pyproject.toml', 'setup.py', 'setup.cfg', '
   when f = 'Cargo.toml' then 'rust' when f in ('pom.xml', 'build.gradle', 'build.gradle.kts') then 'java' when f like '%.csproj' or f like '%.sln' then 'dotnet' when f = 'Gemfile' then 'ruby' end as language, min(f) as marker_file
 from m where not regexp_matches('/' || dir || '/', '/([.]venv|venv|[.]env|env|node_modules|[.]git|[.]hg|[.]svn|__pycache__|[.]mypy_cache|[.]pytest_cache|[.]ruff_cache|[.]tox|[.]nox|site-packages|dist|build|[.]eggs|obj|bin)/')
 group by 1, 2 having language is not null""",
+    "progress_rates": """select user_id, event_id as seq, n_done::int as n_done, round(case when span > 0 then (least(n_done, 20) - 1) * 1000000 / span end, 9) as rate
+from (select *, row_number() over w as n_done, epoch_us(ts) - epoch_us(min(ts) over (partition by user_id order by ts, event_id rows between 19 preceding and current row)) as span from events window w as (partition by user_id order by ts, event_id))""",
     "change_summary": "select 'src/f' || user_id || '.py' as path, arg_max(event_type, {'a': ts, 'b': event_id}) as change_type, count(*) as n from events group by 1",
     "snapshot_changes": """with b as (select o_orderkey::varchar as path, o_totalprice as s from orders where o_orderkey % 11 <> 0), n as (select o_orderkey::varchar as path, case when o_orderkey % 7 = 0 then o_totalprice + 1 else o_totalprice end as s from orders where o_orderkey % 13 <> 0)
 select * from (select case when b.s is null then 'added' when n.s is null then 'deleted' when b.s <> n.s then 'modified' end as change_type, path from b full join n using (path)) where change_type is not null""",

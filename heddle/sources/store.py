@@ -7,7 +7,7 @@ import os
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FORMAT_VERSION = "1.1"
 
@@ -167,12 +167,35 @@ def layered(user: dict, project: dict, env: dict, lists: tuple[str, ...] = ("gra
     return fill_placeholders(out)
 
 
-def save_json(df: DataFrame, path: str, root: str = ".", most: int = 100_000) -> int:
-    """At most ``most`` rows as a JSON file under ``root``; other places are refused."""
+def save_json(df: DataFrame, path: str, root: str = ".") -> int:
+    """All rows as one JSON file under ``root``; other places are refused.
+
+    The rows pass the driver partition by partition, never all at once; for results that no
+    single file should hold there is ``df.write.json``.
+    """
     full, base = os.path.realpath(os.path.join(root, path)), os.path.realpath(root)
     if os.path.commonpath([full, base]) != base:
         raise ValueError(f"{path} is outside {root}")
-    rows = [json.loads(r) for r in df.limit(most).toJSON().collect()]
+    n = 0
     with open(full, "w", encoding="utf-8") as f:
-        json.dump(rows, f, indent=2, ensure_ascii=False)
-    return len(rows)
+        f.write("[")
+        for row in df.select(F.to_json(F.struct(*df.columns)).alias("r")).toLocalIterator():
+            f.write((",\n" if n else "\n") + row["r"])
+            n += 1
+        f.write("\n]\n")
+    return n
+
+
+def choose(catalog: Catalog, graph_file: str | None = None, graph_name: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """The graph a command means: a file goes before a name, a name before the default one."""
+    if graph_file:
+        if not os.path.exists(os.path.join(graph_file, "CURRENT")):
+            raise GraphStoreError(f"no graph at {graph_file}")
+        return load_graph(catalog.spark, graph_file)
+    return catalog.get(graph_name or "default")
+
+
+def graph_listing(catalog: Catalog) -> dict:
+    """The listing of all graphs with their number; one row a configured graph."""
+    docs = [r.asDict() for r in catalog.listing().collect()]
+    return {"docs": docs, "count": len(docs)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 CHANGES = "change_type string, path string, ts timestamp"
@@ -67,3 +67,27 @@ def windowed_counts(events: DataFrame, window: str = "5 minutes", late: str = "1
     """Events per type and window, late ones up to a limit."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must carry a zone; the session's is used
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def run_scan(command: list[str], timeout: float | None = None) -> int:
+    """Run a scan as a process of its own; its exit code, or 124 if it takes longer than ``timeout`` seconds."""
+    import subprocess
+
+    try:
+        return subprocess.run(command, timeout=timeout, check=False).returncode
+    except subprocess.TimeoutExpired:  # the process has been killed
+        return 124
+
+
+def progress(done: DataFrame, keys: list[str], window: int = 20) -> DataFrame:
+    """Adds rate (completions a second over the last ``window`` of its group, null before the second) and
+    n_done to completions (keys, ts, and what orders equal times as ``seq``)."""
+    w = Window.partitionBy(*keys).orderBy("ts", "seq")
+    last = w.rowsBetween(-(window - 1), 0)
+    span = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.min(F.col("ts").cast("timestamp")).over(last))
+    return done.withColumn("n_done", F.row_number().over(w)).withColumn("rate", F.when(span > 0, (F.count("*").over(last) - 1) * 1_000_000 / span))
+
+
+def eta_seconds(progress: DataFrame, total: int) -> DataFrame:
+    """Adds eta: seconds until ``total`` are done at the present rate; null without one."""
+    return progress.withColumn("eta", F.when(F.col("rate") > 0, F.greatest(F.lit(0), F.lit(total) - F.col("n_done")) / F.col("rate")))

@@ -19,8 +19,9 @@ def test_token_chunks():
 
 
 def test_long_line():
-    parts = chunking.split_long_line("a" * 1000, 50)
-    assert "".join(parts) == "a" * 1000 and max(map(len, parts)) == 180
+    line = "ab" * 4000
+    pieces = [t for t, first, last in chunking.chunk_tokens("x\n" + line, 500, 0) if len(t) > 1]
+    assert "".join(pieces) == line and {len(t) for t in pieces[:-1]} == {chunking.piece_length(8000, 2000, 500)} == {1800}
 
 
 def test_fold_table():
