@@ -1,15 +1,24 @@
-"""Parsing files into nodes: whole files, Python definitions, Markdown sections."""
+"""Parsing files into nodes: whole files, definitions of the languages with a grammar, Markdown sections.
+
+A handler says how the nodes of a language are called and what its containers are; languages
+without one get file nodes alone.
+"""
 
 from __future__ import annotations
 
 import ast
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from heddle import syntax
+
 NODE = "node_id string, category string, ts_kind string, name string, qualified_name string, file_path string, start_line int, end_line int, start_byte int, end_byte int, content string, content_hash string, signature string, language string, content_type string, parent_node_id string, leading_context string, is_error boolean"
 _COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 #: Deepest level of definitions that become nodes.
@@ -17,8 +26,39 @@ DEEPEST = 4
 #: Characters kept of the comments above a definition.
 CONTEXT_CHARS = 2000
 CODE = {"python", "typescript", "tsx", "javascript", "go", "rust", "java", "kotlin", "scala", "c", "cpp", "csharp", "ruby", "php", "swift", "bash", "sql", "lua", "r", "dockerfile", "hcl", "gdscript", "cuda", "css"}
-# Kinds of the root node.
-ROOT_KIND = {"python": "module", "typescript": "program", "tsx": "program", "javascript": "program", "go": "source_file", "rust": "source_file", "markdown": "document"}
+
+
+@dataclass(frozen=True)
+class Handler:
+    """How a language names its nodes: the root, types, functions and methods; kinds that only hold
+    others and become no nodes; how comments above a definition begin."""
+
+    root: str
+    type_kinds: tuple[tuple[str, str], ...] = ()
+    function: str = "function_declaration"
+    method: str = "method_definition"
+    containers: frozenset[str] = frozenset(["program", "module", "source_file", "translation_unit", "class_body", "declaration_list", "statement_block"])
+    above: tuple[str, ...] = ("//", "/*", "*", "@", "#[")
+
+
+# Kinds by language; the first word of a definition tells which type it is.
+HANDLERS = {
+    "python": Handler("module", (("class", "class_definition"),), "function_definition", "function_definition", Handler("").containers | {"block"}, ("#", "@")),
+    "javascript": Handler("program", (("class", "class_declaration"),)),
+    "typescript": Handler("program", (("class", "class_declaration"), ("interface", "interface_declaration"), ("enum", "enum_declaration"))),
+    "go": Handler("source_file", (("", "type_spec"),), "function_declaration", "method_declaration", above=("//", "/*", "*")),
+    "rust": Handler("source_file", (("struct", "struct_item"), ("union", "union_item"), ("enum", "enum_item"), ("trait", "trait_item")), "function_item", "function_item"),
+    "markdown": Handler("document"),
+    "tsx": Handler("program"),
+}
+DEFAULT = Handler("config_file")
+
+
+def handler(language: str | None) -> Handler:
+    """The handler of a language; others have the default one."""
+    return HANDLERS.get(language or "", DEFAULT)
+
+
 _FENCE = re.compile(r"^(`{3,}|~{3,})")
 
 
@@ -30,7 +70,7 @@ def _node(category, kind, name, qualified, path, start, end, sb, eb, content, si
 
 def file_node(path: str, language: str, text: str, error: bool = False) -> tuple:
     name = path.rsplit("/", 1)[-1]
-    return _node("file", ROOT_KIND.get(language, "config_file"), name, name, path, 1, text.count("\n") + 1, 0, len(text.encode("utf-8", "replace")), text, None, language, None, None, error)
+    return _node("file", handler(language).root, name, name, path, 1, text.count("\n") + 1, 0, len(text.encode("utf-8", "replace")), text, None, language, None, None, error)
 
 
 def markdown_sections(path: str, text: str) -> list[tuple]:
@@ -72,10 +112,10 @@ def markdown_sections(path: str, text: str) -> list[tuple]:
     return out
 
 
-def _context(lines: list[str], first: int) -> str | None:
+def _context(lines: list[str], first: int, marks: tuple[str, ...] = ("#", "@")) -> str | None:
     """Comments and decorators right above line ``first``, in source order."""
     k = first - 2
-    while k >= 0 and lines[k].lstrip().startswith(("#", "@")):
+    while k >= 0 and lines[k].lstrip().startswith(marks):
         k -= 1
     text = "\n".join(lines[k + 1 : first - 1]).strip()
     return (text[:CONTEXT_CHARS] + "\n[TRUNCATED]" if len(text) > CONTEXT_CHARS else text) or None
@@ -118,6 +158,61 @@ def python_nodes(path: str, text: str) -> tuple[list[tuple], bool]:
     return out, False
 
 
+def definition_nodes(path: str, language: str, text: str) -> tuple[list[tuple], bool]:
+    """(definitions as nodes, whether the file has an error) by the grammar of a language.
+
+    Methods hang below their type where it stands in the file, all else below the file; a name
+    that comes again carries its line.
+    """
+    found = syntax.definitions(text, language)
+    if found is None:
+        return [], True
+    how = handler(language)
+    lines = text.split("\n")
+    ends = [0]
+    for line in lines:
+        ends.append(ends[-1] + len(line) + 1)
+    line_at = lambda at: bisect.bisect_right(ends, at)
+    sizes = [0]
+    for line in lines:
+        sizes.append(sizes[-1] + len(line.encode("utf-8", "replace")) + 1)
+    byte_at = lambda at: sizes[line_at(at) - 1] + len(text[ends[line_at(at) - 1] : at].encode("utf-8", "replace"))
+    out: list[tuple] = []
+    types: dict[str, str] = {}
+    seen: set[str] = set()
+    for d in sorted(found, key=lambda d: (d.start, -d.end)):
+        is_type = d.name.endswith(".")
+        qualified = d.name.rstrip(".")
+        owner, _, name = qualified.rpartition(".")
+        first, last = line_at(d.start), line_at(max(d.start, d.end - 1))
+        if is_type:
+            word = text[d.start : d.end].split(None, 1)[0]
+            kind = next((k for w, k in how.type_kinds if not w or w == word), "type_declaration")
+        else:
+            kind = how.method if owner else how.function
+        category = "type" if is_type else "callable"
+        key = f"{category}:{qualified}"
+        shown = f"{qualified}@{first}" if key in seen else qualified
+        seen.add(key)
+        signature = re.sub(r"\s+", " ", text[d.start : d.head]).strip()
+        node = _node(category, kind, name, shown, path, first, last, byte_at(d.start), byte_at(d.end), text[d.start : d.end], signature, language, types.get(owner, f"file:{path}"), _context(lines, line_at(d.first), how.above))
+        if is_type:
+            types.setdefault(qualified, node[0])
+        out.append(node)
+    return out, False
+
+
+def nodes_below(path: str, language: str | None, text: str) -> tuple[list[tuple], bool]:
+    """(nodes below the file node, whether the file has an error)."""
+    if language == "python":
+        return python_nodes(path, text)
+    if language == "markdown":
+        return markdown_sections(path, text), False
+    if handler(language).type_kinds:
+        return definition_nodes(path, language, text)
+    return [], False
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Nodes of files; files: (file_path, language, content). A file that does not parse keeps its
     file node, marked as an error; null contents give nothing."""
@@ -128,7 +223,7 @@ def parse(files: DataFrame) -> DataFrame:
             for path, language, text in zip(b["file_path"], b["language"], b["content"]):
                 if not isinstance(text, str) or not isinstance(path, str):
                     continue
-                below, error = python_nodes(path, text) if language == "python" else (markdown_sections(path, text) if language == "markdown" else [], False)
+                below, error = nodes_below(path, language, text)
                 rows.append(file_node(path, language, text, error))
                 rows += below
             out = pd.DataFrame(rows, columns=_COLUMNS)

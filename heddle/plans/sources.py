@@ -25,6 +25,12 @@ def python_definitions(spark: SparkSession, d: str) -> DataFrame:
     return parsing.parse(_files(spark, d, "python")).select("node_id", "category", "name", "start_line", "end_line", "parent_node_id", "signature", "is_error")
 
 
+def definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Types, functions and methods of every language that has a grammar beside Python."""
+    f = table(spark, d, "code_nodes", "file_path", "language", "content", "category").where((F.col("category") == "file") & F.col("language").isin("javascript", "typescript", "go", "rust"))
+    return parsing.parse(f.select("file_path", "language", "content").distinct()).select("node_id", "category", "ts_kind", "name", "start_line", "end_line", "parent_node_id", "signature", "is_error")
+
+
 def project_markers(spark: SparkSession, d: str) -> DataFrame:
     """Project roots among the real paths and invented marker files beside them."""
     paths = table(spark, d, "code_nodes", "file_path").distinct().select(F.col("file_path").alias("path"))
@@ -71,7 +77,7 @@ def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
     return done.where(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (markdown_sections, python_definitions, project_markers, change_summary, progress_rates, snapshot_changes, streamed_windows)}
+QUERIES = {f.__name__: f for f in (markdown_sections, python_definitions, definitions, project_markers, change_summary, progress_rates, snapshot_changes, streamed_windows)}
 
 ORACLE = {
     "project_markers": """with f as (select distinct file_path as path from code_nodes), dirs as (select distinct regexp_replace(path, '/?[^/]*$', '') as dir from f),
