@@ -3,8 +3,9 @@ import functools
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from heddle.llm import docpairs, parsing, syntax
-from heddle.llm.syntax import states
+from heddle import syntax
+from heddle.llm import docpairs, parsing
+from heddle.syntax import states
 
 GOOD = {
     "javascript": ["const a = /x[/]y/g.test(b) ? `t${c + `n${d}`}` : {...e, f() { return 1 }, get g() { return 2 }};\nexport default class extends B { #p = 1; static { this.q = 2 } async *m() { yield* z() } }\nfor await (const [x, {y = 1}] of z) label: for (;;) break label\nlet q = async ({a, b}) => await a?.[0]?.(b) ?? 1", "x = a / b / c\nif (a) b\nelse c\nthrow new E"],
