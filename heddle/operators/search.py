@@ -79,8 +79,10 @@ def _path_filters(spec: QuerySpec, rows: DataFrame) -> DataFrame:
     return rows
 
 
-def match_regex(nodes: DataFrame, pattern: str) -> DataFrame:
-    """Best field of each matching row: node_id 1.0 if the match is the whole id, else 0.8;
+def rank_regex(nodes: DataFrame, pattern: str) -> DataFrame:
+    """The rows of nodes that match, with match_field and score: their best field.
+
+    Scores: node_id 1.0 if the match is the whole id, else 0.8;
     leading_context 0.6; content and smart_content 0.5, in this order at equal score."""
     hit = {c: F.col(c).isNotNull() & (F.length(c) > 0) & F.col(c).rlike(pattern) for c in FIELDS}
     text = F.regexp_substr("node_id", F.lit(pattern))
@@ -95,7 +97,15 @@ def match_regex(nodes: DataFrame, pattern: str) -> DataFrame:
         .when(hit["content"], "content")
         .when(hit["smart_content"], "smart_content")
     )
-    rows = nodes.withColumn("match_field", where).where("match_field is not null").withColumn("score", score)
+    return nodes.withColumn("match_field", where).where("match_field is not null").withColumn("score", score)
+
+
+#: What a hit is shown with besides its rank.
+SHOWN = ["match_start_line", "match_end_line", "snippet", "chunk_index", "chunk_offset"]
+
+
+def locate(rows: DataFrame, pattern: str) -> DataFrame:
+    """Adds lines and snippet of the match to rows of rank_regex."""
     # offset of the match in the winning field; a hit in the leading context is read
     # against the content for lines and against the summary for the snippet
     searched = F.when(F.col("match_field") == "leading_context", F.col("leading_context")).when(F.col("match_field") == "content", F.col("content")).otherwise(F.col("smart_content"))
@@ -107,10 +117,13 @@ def match_regex(nodes: DataFrame, pattern: str) -> DataFrame:
     last = F.when(F.col("match_field") == "smart_content", F.col("end_line")).when(F.col("match_field") == "node_id", F.col("start_line")).otherwise(F.col("start_line") + newlines(content, start + length))
     shown = F.when(F.col("match_field") == "content", content).otherwise(F.coalesce("smart_content", F.lit("")))
     snippet = F.when(F.col("match_field") == "node_id", F.col("node_id")).otherwise(F.coalesce(F.try_element_at(F.split(shown, "\n"), newlines(shown, start).cast("int") + 1), F.substring(shown, 1, 50)))
-    return rows.select(
-        "node_id", "node_seq", "start_line", "end_line", first.cast("int").alias("match_start_line"), last.cast("int").alias("match_end_line"), "match_field", "score", snippet.alias("snippet"),
-        F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("struct<start_line:int,end_line:int>").alias("chunk_offset"),
-    )
+    return rows.withColumns({
+        "match_start_line": first.cast("int"), "match_end_line": last.cast("int"), "snippet": snippet,
+        "chunk_index": F.lit(None).cast("int"), "chunk_offset": F.lit(None).cast("struct<start_line:int,end_line:int>"),
+    })
+
+
+RANKED = ["node_id", "node_seq", "start_line", "end_line", "match_field", "score"]
 
 
 def match_semantic(nodes: DataFrame, query: list[float], at_least: float) -> DataFrame:
@@ -145,13 +158,21 @@ def parent_penalty(hits: DataFrame, edges: DataFrame, penalty: float = 0.25) ->
     return out.withColumn("score", F.when(F.col("deep").isNotNull() & (F.col("score") < 1.0), less).otherwise(F.col("score"))).drop("deep")
 
 
-def hits_of(nodes: DataFrame, edges: DataFrame, spec: QuerySpec, mode: str, query_vector: list[float] | None = None, penalty: float = 0.25) -> DataFrame:
-    """All ranked hits before paging: filters, last versions only, penalty."""
+def _pattern(spec: QuerySpec, mode: str) -> str:
+    return S.literal_regex(spec.pattern) if mode == "text" else spec.pattern
+
+
+def hits_of(nodes: DataFrame, edges: DataFrame, spec: QuerySpec, mode: str, query_vector: list[float] | None = None, penalty: float = 0.25, located: bool = True) -> DataFrame:
+    """All ranked hits before paging: filters, last versions only, penalty.
+
+    Without ``located`` text and regular-expression hits carry their rank only.
+    """
     if mode == "semantic":
         found = match_semantic(nodes, query_vector or [], spec.min_similarity)
     else:
         tried = within_time(nodes, spec.pattern) if mode == "regex" and may_explode(spec.pattern) else nodes
-        found = match_regex(tried, S.literal_regex(spec.pattern) if mode == "text" else spec.pattern)
+        found = rank_regex(tried, _pattern(spec, mode))
+        found = locate(found, _pattern(spec, mode)).select(*RANKED, *SHOWN) if located else found.select(*RANKED)
     found = graph.current_only(_path_filters(spec, found), nodes)
     return parent_penalty(keep(found, "hits"), edges, penalty)
 
@@ -162,10 +183,19 @@ def page(hits: DataFrame, spec: QuerySpec) -> DataFrame:
     return (ranked.offset(spec.offset) if spec.offset else ranked).limit(spec.limit)
 
 
+def page_of(nodes: DataFrame, edges: DataFrame, spec: QuerySpec, mode: str, query_vector: list[float] | None = None, penalty: float = 0.25) -> DataFrame:
+    """One page of hits in rank order; lines and snippets are looked up for the page alone."""
+    if mode == "semantic":
+        return page(hits_of(nodes, edges, spec, mode, query_vector, penalty), spec)
+    shown = page(hits_of(nodes, edges, spec, mode, None, penalty, located=False), spec)
+    texts = nodes.select(F.col("node_id").alias("nid"), F.col("node_seq").alias("seq"), *(c for c in FIELDS if c != "node_id"))
+    rows = shown.join(texts, (shown.node_id == texts.nid) & (shown.node_seq == texts.seq))
+    return locate(rows, _pattern(spec, mode)).select(*RANKED, *SHOWN, "first_seq").orderBy(F.col("score").desc(), "first_seq")
+
+
 def search(nodes: DataFrame, edges: DataFrame, spec: QuerySpec, query_vector: list[float] | None = None, penalty: float = 0.25) -> DataFrame:
     """One page of hits in rank order."""
-    mode = resolve_mode(spec, nodes, query_vector is not None)
-    return page(hits_of(nodes, edges, spec, mode, query_vector, penalty), spec)
+    return page_of(nodes, edges, spec, resolve_mode(spec, nodes, query_vector is not None), query_vector, penalty)
 
 
 #: Columns of a hit; ``max`` adds the others, null where they do not apply.

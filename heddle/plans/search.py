@@ -26,8 +26,7 @@ TEXT_ALL = op.QuerySpec("registry", "text", limit=10_000_000)
 
 def search_text(spark: SparkSession, d: str) -> DataFrame:
     """Page of a text search: filters, parent penalty, rank order."""
-    hits = op.hits_of(nodes(spark, d), edges(spark, d), TEXT, "text")
-    return op.page(hits, TEXT).select("node_id", F.round("score", 6).alias("score"), "match_field", "snippet", "match_start_line", "match_end_line")
+    return op.page_of(nodes(spark, d), edges(spark, d), TEXT, "text").select("node_id", F.round("score", 6).alias("score"), "match_field", "snippet", "match_start_line", "match_end_line")
 
 
 def search_text_all(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +61,7 @@ def search_envelope(spark: SparkSession, d: str) -> DataFrame:
 
 def search_max(spark: SparkSession, d: str) -> DataFrame:
     """The page of search_text with all thirteen columns."""
-    hits = op.hits_of(nodes(spark, d), edges(spark, d), TEXT, "text")
-    return op.project_hits(op.page(hits, TEXT), nodes(spark, d), "max").select("node_id", F.round("score", 6).alias("score"), "smart_content", "content", F.size("matched_lines").alias("n_lines"), "chunk_index")
+    return op.project_hits(op.page_of(nodes(spark, d), edges(spark, d), TEXT, "text"), nodes(spark, d), "max").select("node_id", F.round("score", 6).alias("score"), "smart_content", "content", F.size("matched_lines").alias("n_lines"), "chunk_index")
 
 
 SLOW = op.QuerySpec(r"def (?:[a-z]+_)+queue\b", "regex", limit=10_000_000)
