@@ -73,8 +73,8 @@ def cycle_members(rest: DataFrame) -> DataFrame:
     """(node_id, cycle_head) of the rows of ``rest`` that lie on a cycle themselves.
 
     rest: (id, parent), each parent again an id of it.  Per round the pointer of a row
-    doubles its reach and the smallest id on the way is kept.  The image of the pointers
-    shrinks to the nodes on cycles; it has been reached when its size and the minima on
+    doubles its reach, the smallest id on the way is kept, and rows that no pointer meets
+    are dropped.  The image of the pointers shrinks to the nodes on cycles; it has been reached when its size and the minima on
     it no longer change, which takes about log2 of the longest path or cycle rounds.
     """
     spark = rest.sparkSession
@@ -89,9 +89,10 @@ def cycle_members(rest: DataFrame) -> DataFrame:
         if before is not None and tuple(now) == tuple(before):
             return on.select(F.col("id").alias("node_id"), F.col("low").alias("cycle_head"))
         before = now
-        far = jump.select(F.col("id").alias("mid"), F.col("ahead").alias("far"), F.col("low").alias("far_low"))
+        # only the image matters from here on: what hangs below the cycles falls away in halves
+        far = on.select(F.col("id").alias("mid"), F.col("ahead").alias("far"), F.col("low").alias("far_low"))
         jump = keep(
-            jump.join(far, F.col("ahead") == F.col("mid")).select("id", F.col("far").alias("ahead"), F.least("low", "far_low").alias("low")),
+            on.join(far, F.col("ahead") == F.col("mid")).select("id", F.col("far").alias("ahead"), F.least("low", "far_low").alias("low")),
             "jump",
         )
 
