@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heddle.functions import scalars as S
 from heddle.operators import chunking, graph, incremental as inc, refs
 from heddle.session import keep
+from heddle.sources import files
 
 # Prompt template and token limit by category.
 TEMPLATES = {"file": ("file", 200), "type": ("type", 200), "callable": ("callable", 150), "section": ("section", 150), "block": ("block", 150)}
@@ -114,10 +115,18 @@ class ScanSummary:
         return not self.errors
 
 
+def discover(spark: SparkSession, roots: list[str], s: ScanSummary, **rules) -> DataFrame:
+    """(path, size_bytes) of the files below the roots; their number and the missing roots go to the summary."""
+    found, missing = files.scan(spark, roots, **rules)
+    s.counts["files"] = found.count()
+    s.errors += [f"missing: {m}" for m in missing]
+    return found
+
+
 Stage = Callable[[DataFrame, ScanSummary], DataFrame]
 
 
-def run_pipeline(fresh: DataFrame, prior: DataFrame | None, occurrences: DataFrame | None, prior_edges: DataFrame | None = None, stages: list[Stage] = (), embedder=stub_vectors, summariser=stub_summaries, enabled_categories: list[str] | None = None, prior_meta: dict | None = None, meta: dict | None = None, force: bool = False) -> tuple[DataFrame, DataFrame, ScanSummary]:
+def run_pipeline(fresh: DataFrame, prior: DataFrame | None, occurrences: DataFrame | None, prior_edges: DataFrame | None = None, stages: list[Stage] = (), embedder=stub_vectors, summariser=stub_summaries, enabled_categories: list[str] | None = None, prior_meta: dict | None = None, meta: dict | None = None, force: bool = False, courtesy: Callable[[DataFrame, DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame, ScanSummary]:
     """(nodes, edges, summary): carry forward, summarise, embed, resolve references, store.
 
     fresh: freshly parsed nodes; prior: nodes of the last run or None. Extra stages run on
@@ -127,6 +136,16 @@ def run_pipeline(fresh: DataFrame, prior: DataFrame | None, occurrences: DataFra
     nodes = graph.upsert_nodes(fresh).drop("first_seq")
     if prior is not None:
         nodes = inc.carry_embeddings(inc.carry_summaries(nodes, prior).drop("carried"), prior).drop("carried")
+
+    def save_early(nodes: DataFrame) -> None:
+        """The graph as it is after a slow stage; parents that are missing as yet do not matter, a failure only warns."""
+        if courtesy is not None:
+            try:
+                stored, edges, _ = graph.storage_stage(nodes, nodes.sparkSession.createDataFrame([], "src string, dst string, edge_type string, edge_seq long"))
+                courtesy(stored, edges)
+            except Exception as e:  # noqa: BLE001
+                s.warnings.append(f"early save: {e}")
+
     if meta is not None:
         nodes, difference = inc.guard(nodes, prior_meta, meta, force)
         if difference:
@@ -138,10 +157,12 @@ def run_pipeline(fresh: DataFrame, prior: DataFrame | None, occurrences: DataFra
     if s.counts.get("summaries_error"):
         s.errors.append(f"{s.counts['summaries_error']} summaries failed")
     nodes = keep(inc.overlay(nodes, done.where("status in ('enriched', 'placeholder')"), ["smart_content", "smart_content_hash"]), "summarised")
+    save_early(nodes)
     vectors = keep(embed(nodes, embedder), "embedded")
     if (failed := vectors.agg(F.sum("n_failed")).first()[0] or 0) > 0:
         s.errors.append(f"{failed} chunks failed")
     nodes = inc.overlay(nodes, vectors, ["embedding", "smart_content_embedding", "embedding_hash"])
+    save_early(nodes)
     for stage in stages:
         nodes = stage(nodes, s)
     nodes = keep(nodes, "nodes")

@@ -81,8 +81,20 @@ def reuse_prior(prior: DataFrame, changed: DataFrame, nodes: DataFrame) -> DataF
     return e.select("src", "dst", "edge_seq")
 
 
+def has_resolvable(nodes: DataFrame, changed: DataFrame) -> bool:
+    """Whether a changed file holds a callable or a type."""
+    found = nodes.where(F.split_part("node_id", F.lit(":"), F.lit(1)).isin("callable", "type")).select(S.file_path(F.col("node_id")).alias("file_path"))
+    return not found.join(changed.select("file_path"), "file_path", "left_semi").limit(1).isEmpty()
+
+
 def cross_file(occ: DataFrame, nodes: DataFrame, prior: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
-    """(src, dst, origin): reused prior edges first, then fresh ones; one per pair, the first wins."""
+    """(src, dst, origin): reused prior edges first, then fresh ones; one per pair, the first wins.
+
+    All or nothing: if no changed file holds a callable or a type, nothing is resolved anew and the
+    reused edges are the result; otherwise every occurrence is.
+    """
+    if prior is not None and changed is not None and not has_resolvable(nodes, changed):
+        return reuse_prior(prior, changed, nodes).select("src", "dst", F.lit("reused").alias("origin")).distinct()
     fresh = keep(map_to_nodes(raw_edges(occ), nodes), "fresh").select("src", "dst", F.lit("fresh").alias("origin"), F.lit(1).alias("edge_seq"))
     if prior is None or changed is None:
         return fresh.drop("edge_seq")

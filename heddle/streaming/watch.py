@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from heddle.sources.files import ignore_regex
+
 CHANGES = "change_type string, path string, ts timestamp"
 #: Changes within this time belong together.
 DEBOUNCE = "1600 milliseconds"
@@ -20,6 +23,22 @@ def change_stream(spark: SparkSession, folder: str, schema: str = CHANGES, fmt:
     return reader.load(folder)
 
 
+# Temporary files of editors and systems, as a regular expression for paths.
+TEMPORARY = r"(?:^|/)(?:\.#[^/]*|#[^/]*#|[^/]*~|[^/]*\.sw[a-z]|4913|[^/]*\.tmp|[^/]*\.(?:crdownload|part)|\.DS_Store)$|(?:^|/)(?:\.git|__pycache__)(?:/|$)"
+
+
+def relevant(changes: DataFrame, root: str = "", gitignore: list[str] = ()) -> DataFrame:
+    """Changes (path, ...) but those of temporary files and of what the root's ignore lines name; a later
+    line with an exclamation mark takes a path back in."""
+    rel = F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/", "") if root else F.col("path")
+    out = F.lit(False)
+    for line in gitignore:
+        if rule := ignore_regex(line):
+            pattern, again = rule[0], rule[1]
+            out = F.when(rel.rlike(f"^{pattern}(?:/.*)?$"), F.lit(not again)).otherwise(out)
+    return changes.where(~F.col("path").rlike(TEMPORARY) & ~out)
+
+
 def snapshot_diff(before: DataFrame, now: DataFrame) -> DataFrame:
     """(change_type, path) between two listings (path, stamp); the file source itself never sees deletions."""
     j = before.select("path", F.col("stamp").alias("s0")).join(now.select("path", F.col("stamp").alias("s1")), "path", "full")
@@ -37,9 +56,10 @@ def watch(stream: DataFrame, rescan: Callable[[DataFrame, int], None], checkpoin
 
     Batches never overlap: what arrives during a rescan forms the next batch, which is the
     queue of one. A failing rescan is noted and the watch goes on. ``once`` works off what
-    is there and ends; otherwise DEBOUNCE is the trigger.
+    is there and ends; otherwise DEBOUNCE is the trigger. Temporary files never count.
     """
-    events = stream.where(~F.col("path").rlike(ignore)) if ignore else stream
+    events = relevant(stream)
+    events = events.where(~F.col("path").rlike(ignore)) if ignore else events
     errors: list[str] = []
 
     def handle(batch: DataFrame, number: int) -> None:

@@ -6,7 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import graph, incremental, layout, report, search
+from heddle.operators import enrich, graph, incremental, layout, refs, report, search
 from heddle.sources import store
 from heddle.streaming import watch
 
@@ -94,3 +94,27 @@ def test_graph_of_a_command(spark, tmp_path):
     for args in ((str(tmp_path / "file"), None), (None, "other"), (None, None)):
         with pytest.raises((store.GraphStoreError, store.UnknownGraphError)):
             store.choose(catalog, *args)
+
+
+def test_references_all_or_nothing(spark):
+    nodes = spark.createDataFrame([("file:a.py",), ("callable:a.py:f",), ("file:b.md",), ("section:b.md:x",)], "node_id string")
+    prior = spark.createDataFrame([("callable:a.py:f", "section:b.md:x", "references", 1), ("callable:a.py:f", "file:a.py", "references", 2)], "src string, dst string, edge_type string, edge_seq long")
+    occ = spark.createDataFrame([], "occ_id long, doc_path string, symbol string, symbol_roles int")
+    prose = spark.createDataFrame([("b.md",)], "file_path string")
+    code = spark.createDataFrame([("a.py",)], "file_path string")
+    assert not refs.has_resolvable(nodes, prose) and refs.has_resolvable(nodes, code)
+    assert [tuple(r) for r in refs.cross_file(occ, nodes, prior, prose).collect()] == [("callable:a.py:f", "file:a.py", "reused")]
+
+
+def test_discovery_notes_missing_roots(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x = 1")
+    s = enrich.ScanSummary()
+    assert enrich.discover(spark, [str(tmp_path), str(tmp_path / "none")], s).count() == 1
+    assert s.counts["files"] == 1 and not s.success and "none" in s.errors[0]
+
+
+def test_relevant_changes(spark):
+    paths = ["/r/a.py", "/r/.a.py.swp", "/r/b~", "/r/.git/HEAD", "/r/build/x.o", "/r/logs/keep.log", "/r/logs/a.log"]
+    df = spark.createDataFrame([("modified", p) for p in paths], "change_type string, path string")
+    got = {r.path for r in watch.relevant(df, "/r", ["build/", "*.log", "!keep.log"]).collect()}
+    assert got == {"/r/a.py", "/r/logs/keep.log"}
