@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from heddle.session import keep
+
 #: Candidates the regression is trained on; the letter model counts every text.
 TRAINING_ROWS = 30_000
 HELD_OUT = 0.3
@@ -409,7 +411,7 @@ class Regression:
     threshold: float
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * (x @ self.weights) + self.offset)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * (x @ self.weights) + self.offset, -500, 500)))
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
@@ -437,7 +439,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> Regression:
         return Regression(w, 1.0, 0.0, 0.5)
     z = np.stack([x[b] @ w, np.ones(len(b))], 1)
     slope, offset = _newton(z, y[b], 1e-3)
-    p = 1 / (1 + np.exp(-(slope * z[:, 0] + offset)))
+    p = 1 / (1 + np.exp(-np.clip(slope * z[:, 0] + offset, -500, 500)))
     tries = np.arange(0.1, 0.95, 0.05)
     f1 = [2 * (y[b] * (p >= t)).sum() / max(1, y[b].sum() + (p >= t).sum()) for t in tries]
     best = tries[np.array(f1) >= max(f1) - 1e-9]
@@ -538,8 +540,9 @@ def train(texts: DataFrame, configs: DataFrame | None = None) -> tuple[Letters,
 
     # labelled rows come from a bounded share of the texts
     some = _drawn(texts.select("path", "content"))
-    rows = _drawn(some.mapInPandas(pick, "path string, kind string, name string, value string").distinct(), "kind", "name", "value").toPandas()
-    items = [(r.path or "", Candidate(r.kind, r.name, r.value, 0, len(r.value))) for r in rows.drop_duplicates(["kind", "name", "value"]).itertuples(index=False)]
+    found = keep(some.mapInPandas(pick, "path string, kind string, name string, value string").groupBy("kind", "name", "value").agg(F.min("path").alias("path")), "candidates")
+    rows = _drawn(found, "kind", "name", "value").toPandas()
+    items = [(r.path or "", Candidate(r.kind, r.name, r.value, 0, len(r.value))) for r in rows.sort_values(["kind", "name", "value"]).itertuples(index=False)]
     if configs is not None:
         for r in _drawn(configs.select("path", "value").where("length(value) > 0").distinct()).toPandas().itertuples(index=False):
             items.append((r.path or "", Candidate("config", "jwt_secret", r.value, 0, len(r.value))))
