@@ -176,6 +176,10 @@ select node_id, anc as ancestor_id, depth from walk""",
     "tree_max": f"""with recursive {E_}, {_bucket(f"starts_with({_PATH}, 'lanternfs/')")}, {_tree(3)}, rf as (select dst, count(*) as ref_count from e where edge_type = 'references' group by 1)
 select root_id, s.node_id, depth, c.name, c.category, c.start_line, c.end_line, nullif(c.signature, '') as signature, nullif(c.smart_content, '') as smart_content, nullif(hidden_children, 0) as hidden_children_count, ref_count
 from shown s join cur c using (node_id) left join rf on rf.dst = s.node_id""",
+    "tree_lines": f"""with recursive {E_}, {_bucket(f"starts_with({_PATH}, 'lanternfs/')")}, {_tree(3)},
+x as (select s.*, c.start_line, c.end_line, row_number() over (partition by s.root_id, s.path[1:len(s.path) - 1] order by c.start_line desc, k.seq desc) = 1 as last
+  from shown s join cur c using (node_id) left join kids k on k.src = s.path[len(s.path) - 1] and k.dst = s.node_id)
+select root_id, case when depth = 0 then '' else repeat('    ', depth - 1) || case when last then '└── ' else '├── ' end end || node_id || ' [' || start_line || '-' || end_line || ']' || case when hidden_children > 0 then ' (' || hidden_children || ' children)' else '' end as line from x""",
     "tree_size": f"with recursive {E_}, {_bucket("regexp_matches(node_id, '^.*.*\\.py.*$')")}, {_tree(0)} select count(*) as n_nodes, coalesce(sum(hidden_children), 0)::bigint as n_hidden from shown",
     "node_lookup": f"with {CUR} select node_id, node_seq, category, start_line from cur where node_id in ((select min(node_id) from code_nodes), 'callable:none')",
     "folder_counts": f"with {_FOLDERS} select * from f",

@@ -109,7 +109,10 @@ def chunk_batches(spark: SparkSession, d: str) -> DataFrame:
 def reassembled(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.concat(F.lit("n"), F.floor(F.col("vec_id") / 5).cast("string")).alias("node_id"), (F.col("vec_id") % 5).cast("int").alias("chunk_index"), (F.col("vec_id") % 5 == 4).alias("is_smart_content"), F.col("embedding").alias("vector"))
     r = c.reassemble(v)
-    return r.select("node_id", F.size("embedding").alias("n_raw"), F.size("smart_content_embedding").alias("n_smart"), F.round(F.col("embedding")[1][3].cast("double"), 6).alias("probe"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    in_order = F.aggregate(F.transform("embedding", lambda v, i: (i + 1) * total(v)), F.lit(0.0), lambda s, x: s + x)
+    smart = F.aggregate(F.transform("smart_content_embedding", total), F.lit(0.0), lambda s, x: s + x)
+    return r.select("node_id", F.size("embedding").alias("n_raw"), F.size("smart_content_embedding").alias("n_smart"), F.round(in_order, 4).alias("raw_in_order"), F.round(smart, 4).alias("smart_total"))
 
 
 def mean_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +183,7 @@ select doc_id, chunk_index, piece as text, (1 + length(before) - length(replace(
     "chunk_batches": """with n as (select count(*) as n from (select distinct node_id, chunk_index, is_smart_content from chunk_items))
 select * from (select 16::bigint as n, n // 16 as n_batches from n union all select n % 16, 1 from n) where n > 0 and n_batches > 0""",
     "reassembled": """with v as (select 'n' || (vec_id // 5) as node_id, vec_id % 5 as i, embedding from embeddings)
-select node_id, (count(*) filter (where i < 4))::int as n_raw, (nullif(count(*) filter (where i = 4), 0))::int as n_smart, round(max(case when i = 1 then embedding[4]::double end), 6) as probe from v group by 1""",
+select node_id, (count(*) filter (where i < 4))::int as n_raw, (nullif(count(*) filter (where i = 4), 0))::int as n_smart, round(sum((i + 1) * list_sum(embedding::double[])) filter (where i < 4), 4) as raw_in_order, round(sum(list_sum(embedding::double[])) filter (where i = 4), 4) as smart_total from v group by 1""",
     "mean_vectors": f"""with {CUR}, c as (select node_id, unnest(embedding) as vec, len(embedding[1]) as n from cur where len(embedding) > 0)
 select node_id, round(avg(vec[1]), 6) as first, round(avg(vec[64]), 6) as last from c where len(vec) = n group by 1""",
 }

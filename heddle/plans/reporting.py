@@ -149,7 +149,17 @@ rect as (select null::varchar as up, '' as folder, -1::bigint as depth, false as
   where l > 0 and case when wide then ph - ph * 0.03 * 2 else pw - pw * 0.03 * 2 end > 0)"""
 _LINE_SIZE = "round(case when start_line is null or end_line is null then 4 else greatest(4, least(14, 3 + 1.5 * log2(greatest(1, end_line - start_line + 1) + 1))) end, 2)"
 
+_WORDS_OF = "list_filter(string_split_regex(lower(regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[ _]'), lambda w: w <> '')"
+_STOP = ", ".join(f"'{w}'" for w in layout.STOP_WORDS)
+
 ORACLE = {
+    "language_labels": f"""with {CUR}, p as (select node_id, language, coalesce(name, '') as name, string_split(split_part(node_id, ':', 2), '/') as parts from cur),
+t as (select language as cluster, unnest({_WORDS_OF.format(x="name")} || {_WORDS_OF.format(x="regexp_replace(regexp_replace(parts[-1], '[.][^.]*$', ''), '^test_', '')")} || {_WORDS_OF.format(x="coalesce(parts[-2], '')")}) as token from p),
+w as (select * from t where length(token) >= 3 and token not in ({_STOP})),
+tf as (select cluster, token, count(*) as tf from w group by 1, 2), n as (select count(distinct cluster) as n from w), df as (select token, count(*) as df from tf group by 1),
+s as (select cluster, token, tf * (ln((1 + n) / (1 + df)) + 1) as score from tf join df using (token), n where df <= greatest(1.0, n * 0.8)),
+r as (select *, row_number() over (partition by cluster order by score desc, token) as r from s where score > 0)
+select cluster, string_agg(token, ' · ' order by r) as label from r where r <= 4 group by 1""",
     "treemap_folders": f"with recursive {_RECTANGLES} select folder, depth::int as depth, round(x, 3) as x, round(y, 3) as y, round(w, 3) as w, round(h, 3) as h from rect where not local and depth >= 0",
     "treemap": f"""with recursive {_RECTANGLES},
 n as (select node_id, array_to_string(p[1:greatest(len(p) - 1, 0)], '/') as dir, start_line, end_line, row_number() over (partition by array_to_string(p[1:greatest(len(p) - 1, 0)], '/') order by file, coalesce(start_line, 0), node_id) - 1 as i, count(*) over (partition by array_to_string(p[1:greatest(len(p) - 1, 0)], '/')) as n from f),
