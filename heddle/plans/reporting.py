@@ -185,3 +185,11 @@ select 'project' as project, (select sum(n) from c)::bigint as node_count, (sele
     "prompt_templates": "select distinct node_id, case when category in ('file', 'type', 'callable', 'section', 'block') then category else 'base' end as template, case when category in ('file', 'type') then 200 when category in ('callable', 'section', 'block') then 150 else 100 end as max_tokens from code_nodes",
     "docs_by_tag": "select id, title, path from docs_registry where category = 'how-to' and list_has_any(tags, ['scope', 'router', 'queue'])",
 }
+
+ORACLE["report_page_nodes"] = f"""select c.node_id, c.category, d.depth, m.is_entry_point, c.size from (with {CUR} select node_id, category, {_LINE_SIZE} as size from cur) c
+join ({ORACLE["node_depths"]}) d on d.node_id = c.node_id join ({ORACLE["node_metrics"]}) m on m.node_id = c.node_id"""
+ORACLE["summarised"] = f"""with {CUR}, n as (select node_id, category, name, content, smart_content, coalesce(smart_content_hash = content_hash and smart_content is not null, false) as fresh,
+  length(regexp_replace(coalesce(content, ''), '^\\s+|\\s+$', '', 'g')) < 50 as trivial, length(content) // 4 as tokens from cur),
+q as (select *, case when tokens > 4000 then substring(content, 1, floor(length(content) * 4000 / tokens * 0.9)::bigint) || chr(10) || chr(10) || '[TRUNCATED]' else content end as prompt from n)
+select node_id, case when fresh then smart_content when trivial then '[Empty content - no summary generated for ' || category || ' ' || chr(39) || coalesce(name, 'None') || chr(39) || ']' else array_to_string(list_filter(string_split_regex(prompt, '\\s+'), lambda w: w <> '')[1:12], ' ') end as smart_content,
+  case when fresh then 'skipped' when trivial then 'placeholder' else 'enriched' end as status from q"""
