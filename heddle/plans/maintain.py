@@ -137,25 +137,29 @@ _REUSED = f"""reused as (select distinct src, dst from edges where edge_type = '
 and split_part(src, ':', 2) not in (select file_path from changed) and split_part(dst, ':', 2) not in (select file_path from changed))"""
 _HAS = lambda c: f"coalesce(len({c}) > 0, false)"
 
-ORACLE = {
-    "token_chunks": f"""with recursive {CUR}, t as (select node_id, content, coalesce(start_line, 1) - 1 as base, string_split(content, chr(10)) as ls from cur where regexp_matches(content, '\\S')),
-l as (select node_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from t where length(content) // 4 > 200),
+def _chunks(most: int, overlap: int) -> str:
+    """chunks (node_id, chunk_index, text, start_line, end_line) of t (node_id, content, base, ls)."""
+    return f"""l as (select node_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from t where length(content) // 4 > {most}),
 p as (select node_id, i, line, (length(line) + 1) // 4 as n, sum((length(line) + 1) // 4) over w as tn, sum(length(line) + 1) over w as tc from l window w as (partition by node_id order by i)),
 pl as (select node_id, list(tn::bigint order by i) as tn, list(tc::bigint order by i) as tc, count(*) as m from p group by 1),
 st as (select node_id, 0::bigint as i, 1::bigint as held, 0::bigint as used, null::bigint as a, null::bigint as b from pl
   union all
-  select node_id, i, case when n > 200 then i + 1 when full_ then again else held end, case when n > 200 then 0 when full_ then n + case when again < i then (tc[i - 1] - coalesce(tc[again - 1], 0)) // 4 else 0 end else used + n end,
-    case when (n > 200 or full_) and held < i then held end, case when (n > 200 or full_) and held < i then i - 1 end
-  from (select s.node_id, p.i, p.n, s.held, s.used, s.used + p.n > 200 as full_, pl.tn, pl.tc, list_filter(range(s.held, p.i + 1), lambda k: coalesce(pl.tn[p.i - 1], 0) - coalesce(pl.tn[k - 1], 0) <= 20)[1] as again
+  select node_id, i, case when n > {most} then i + 1 when full_ then again else held end, case when n > {most} then 0 when full_ then n + case when again < i then (tc[i - 1] - coalesce(tc[again - 1], 0)) // 4 else 0 end else used + n end,
+    case when (n > {most} or full_) and held < i then held end, case when (n > {most} or full_) and held < i then i - 1 end
+  from (select s.node_id, p.i, p.n, s.held, s.used, s.used + p.n > {most} as full_, pl.tn, pl.tc, list_filter(range(s.held, p.i + 1), lambda k: coalesce(pl.tn[p.i - 1], 0) - coalesce(pl.tn[k - 1], 0) <= {overlap})[1] as again
     from st s join p on p.node_id = s.node_id and p.i = s.i + 1 join pl on pl.node_id = s.node_id)),
-w as (select node_id, i, line, greatest(100, floor(200.0 * length(line) / greatest(length(line) // 4, 1) * 0.9)::bigint) as width from p where n > 200),
+w as (select node_id, i, line, greatest(100, floor({most}.0 * length(line) / greatest(length(line) // 4, 1) * 0.9)::bigint) as width from p where n > {most}),
 c as (select node_id, i, 0 as kind, 0::bigint as k, a, b, null::varchar as piece from st where a is not null
   union all select node_id, i, 1, unnest(range(0, length(line), width)), i, i, null from w
   union all select st.node_id, st.i + 1, 2, 0, st.held, st.i, null from st join pl on pl.node_id = st.node_id and pl.m = st.i where st.held <= st.i),
 x as (select c.node_id, c.i, c.kind, c.k, c.a, c.b, case when c.kind = 1 then substring(w.line, c.k + 1, w.width) else regexp_replace(array_to_string(t.ls[c.a:c.b], chr(10)), '\\n+$', '') end as text, t.base
-  from c join t on t.node_id = c.node_id left join w on w.node_id = c.node_id and w.i = c.i and c.kind = 1)
-select node_id, (row_number() over (partition by node_id order by i, kind, k) - 1)::int as chunk_index, text, (base + a)::int as start_line, (base + b)::int as end_line from x
-union all select node_id, 0, content, (base + 1)::int, (base + len(ls))::int from t where length(content) // 4 <= 200""",
+  from c join t on t.node_id = c.node_id left join w on w.node_id = c.node_id and w.i = c.i and c.kind = 1),
+chunks as (select node_id, (row_number() over (partition by node_id order by i, kind, k) - 1)::int as chunk_index, text, (base + a)::int as start_line, (base + b)::int as end_line from x
+union all select node_id, 0, content, (base + 1)::int, (base + len(ls))::int from t where length(content) // 4 <= {most})"""
+
+
+ORACLE = {
+    "token_chunks": f"with recursive {CUR}, t as (select node_id, content, coalesce(start_line, 1) - 1 as base, string_split(content, chr(10)) as ls from cur where regexp_matches(content, '\\S')), {_chunks(200, 20)} select * from chunks",
     "changed_files": f"with {_P} select * from changed",
     "nodes_to_rescan": f"with {_P} select node_id from cur where file_path in (select file_path from changed)",
     "embedding_freshness": f"""with {CUR}, x as (select *, case when length(leading_context) > 0 then sha256(leading_context || chr(10) || content) else content_hash end as expected from cur)
@@ -187,3 +191,12 @@ select node_id, (count(*) filter (where i < 4))::int as n_raw, (nullif(count(*)
     "mean_vectors": f"""with {CUR}, c as (select node_id, unnest(embedding) as vec, len(embedding[1]) as n from cur where len(embedding) > 0)
 select node_id, round(avg(vec[1]), 6) as first, round(avg(vec[64]), 6) as last from c where len(vec) = n group by 1""",
 }
+#: For the query of the embedding stage.
+EMBEDDED = f"""with recursive {CUR}, exp as (select *, case when length(leading_context) > 0 then sha256(leading_context || chr(10) || content) else content_hash end as expected from cur),
+todo as (select * from exp where not ((length(regexp_replace(coalesce(content, ''), '^\\s+|\\s+$', '', 'g')) = 0 or {_HAS('embedding')}) and coalesce(embedding_hash = expected, false)
+  and (coalesce(starts_with(smart_content, '[Empty content'), false) or smart_content is null or {_HAS('smart_content_embedding')}))),
+y as (select node_id, case when length(leading_context) > 0 then leading_context || chr(10) || content else content end as content, coalesce(start_line, 1) - 1 as base from todo),
+t as (select *, string_split(content, chr(10)) as ls from y where regexp_matches(content, '\\S')), {_chunks(4000, 50)},
+r as (select node_id, count(*) as n from chunks group by 1),
+m as (select node_id, 1 as n from todo where length(smart_content) > 0 and not coalesce(starts_with(smart_content, '[Empty content'), false))
+select node_id, coalesce(r.n, 0)::int as n_raw, coalesce(m.n, 0)::int as n_smart, expected as embedding_hash, 0::bigint as n_failed from todo left join r using (node_id) left join m using (node_id) where r.n > 0 or m.n > 0"""

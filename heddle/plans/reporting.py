@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from heddle.functions import scalars as S
 from heddle.operators import enrich, graph as g, layout, report as r, tree
 from heddle.plans.graphs import E_
+from heddle.plans.maintain import EMBEDDED
 from heddle.plans.search import CUR
 from heddle.session import keep, table
 
@@ -193,3 +194,4 @@ ORACLE["summarised"] = f"""with {CUR}, n as (select node_id, category, name, con
 q as (select *, case when tokens > 4000 then substring(content, 1, floor(length(content) * 4000 / tokens * 0.9)::bigint) || chr(10) || chr(10) || '[TRUNCATED]' else content end as prompt from n)
 select node_id, case when fresh then smart_content when trivial then '[Empty content - no summary generated for ' || category || ' ' || chr(39) || coalesce(name, 'None') || chr(39) || ']' else array_to_string(list_filter(string_split_regex(prompt, '\\s+'), lambda w: w <> '')[1:12], ' ') end as smart_content,
   case when fresh then 'skipped' when trivial then 'placeholder' else 'enriched' end as status from q"""
+ORACLE["embedded"] = EMBEDDED

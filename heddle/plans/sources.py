@@ -79,7 +79,22 @@ def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (markdown_sections, python_definitions, definitions, project_markers, change_summary, progress_rates, snapshot_changes, streamed_windows)}
 
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
 ORACLE = {
+    "markdown_sections": f"""with recursive g as (select row_number() over (order by file_path, content) as id, file_path, string_split(content, chr(10)) as ls from (select distinct file_path, content from code_nodes where category = 'file' and language = 'markdown' and content is not null)),
+l as (select id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from g),
+m as (select *, regexp_extract({_STRIP.format(x="line")}, '^(`{{3,}}|~{{3,}})') as mark from l),
+st as (select id, 0::bigint as i, ''::varchar as fence, false as inside from g
+  union all select s.id, m.i, case when mark = '' then s.fence when s.fence = '' then mark when mark[1] = s.fence[1] and length(mark) >= length(s.fence) then '' else s.fence end, mark <> '' or s.fence <> '' from st s join m on m.id = s.id and m.i = s.i + 1),
+free as (select m.id, m.i, m.line from m join st on st.id = m.id and st.i = m.i where not st.inside),
+h as (select id, i as a, {_STRIP.format(x="regexp_extract(line, '^## +(.+)$', 1)")} as heading from free where regexp_matches(line, '^## +(.+)$')),
+ti as (select id, arg_min({_STRIP.format(x="regexp_extract(line, '^# +(.+)$', 1)")}, i) as title from free where regexp_matches(line, '^# +(.+)$') group by 1),
+sp as (select id, a, coalesce(lead(a) over (partition by id order by a) - 1, (select len(ls) from g where g.id = h.id)) as b, heading, heading as name from h
+  union all select id, 1, min(a) - 1, null, coalesce(any_value(title), 'Preamble') from h left join ti using (id) group by id having min(a) > 1),
+x as (select g.file_path, sp.*, g.ls, row_number() over (partition by sp.id, name order by a) > 1 as again, regexp_replace(array_to_string(g.ls[a:b], chr(10)), '\\n\\n+$', chr(10)) as content, strlen(array_to_string(g.ls[1:a - 1], chr(10))) + case when a > 1 then 1 else 0 end as sb from sp join g on g.id = sp.id)
+select 'section:' || file_path || ':' || name || case when again then '@' || a else '' end as node_id, name, a::int as start_line, b::int as end_line, sb::int as start_byte, (sb + strlen(content))::int as end_byte,
+  case when heading is not null then '## ' || name else coalesce(nullif({_STRIP.format(x="ls[1]")}, ''), 'Preamble') end as signature, sha256(content) as content_hash from x""",
     "project_markers": """with f as (select distinct file_path as path from code_nodes), dirs as (select distinct regexp_replace(path, '/?[^/]*$', '') as dir from f),
 p as (select path from f union select dir || '/' || m from dirs, (select unnest(['pyproject.toml', 'setup.cfg', 'Pipfile', 'tsconfig.json', 'package.json', 'go.mod', 'Cargo.toml', 'pom.xml', 'build.gradle.kts', 'App.csproj', 'All.sln', 'Gemfile', 'requirements.txt', 'global.json', 'README.md']) as m)),
 m as (select regexp_replace(path, '/?[^/]*$', '') as dir, split_part(path, '/', -1) as f from p)
