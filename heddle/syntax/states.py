@@ -53,6 +53,25 @@ _rule(
 )
 
 
+#: Depths of nested comments and hashes of raw strings that have states of their own in Rust.
+_DEPTHS, _HASHES = 9, 5
+_rule(
+    "rust",
+    r"(?P<comment>//[^\n]*)|(?P<b1>/\*)|"
+    + "|".join(rf"(?P<r{n}>(?<!\w)(?:br|cr|r){'#' * n}\")" for n in range(_HASHES, -1, -1))
+    + r"|(?P<char>b?'(?:\\(?:u\{[0-9a-fA-F_]+\}|x[0-9a-fA-F]{2}|.)|[^\\'\n])')|(?P<life>'[^\W\d]\w*)|(?P<q>\")|(?P<o>[(\[{])|(?P<c>[)\]}])",
+    {f"b{n}": "" for n in range(1, _DEPTHS + 1)} | {f"r{n}": rf".*?\"{'#' * n}" for n in range(_HASHES + 1)} | {"q": r"(?:\\.|[^\"\\])*\""},
+)
+_NESTING = re.compile(r"/\*|\*/")
+
+
+def _comment(text: str, i: int, depth: int) -> tuple[int, int]:
+    """(depth, place) where a comment that may hold others ends, or where the text does."""
+    while depth and (m := _NESTING.search(text, i)):
+        i, depth = m.end(), min(_DEPTHS, depth + (1 if m.group() == "/*" else -1))
+    return depth, i
+
+
 @dataclass(frozen=True)
 class Summary:
     """Exit state and brackets for one entry state; broken: an error inside the chunk."""
@@ -64,7 +83,7 @@ class Summary:
 
 
 def states_of(language: str) -> list[str]:
-    """Entry states of a language; empty where the lexer needs the grammar (ECMAScript, Rust, YAML)."""
+    """Entry states of a language; empty where the lexer needs the grammar (ECMAScript, YAML)."""
     rule = _RULES.get(language)
     return [CODE, *(s for s in rule[1] if s not in rule[2])] if rule else []
 
@@ -136,7 +155,10 @@ def _scan(language: str, text: str, state: str) -> Summary:
     i, broken = 0, False
     while True:
         if state != CODE:
-            if state in _FORMATTED and language == "python":
+            if state[0] == "b" and language == "rust":
+                depth, end = _comment(text, i, int(state[1:]))
+                state, end = f"b{depth}", end if depth == 0 else None
+            elif state in _FORMATTED and language == "python":
                 end = _formatted(text, i, _FORMATTED[state])
             else:
                 m = leave[state].match(text, i)
