@@ -106,6 +106,7 @@ LONG = {
     "python": "\n".join(["def f(x):", '    """Text (with an open bracket.', '    """', "    return [x, {'a': (1,", "        2)}]", *FORMATTED]),
     "go": "package p\n\nvar a = `raw ( \n text`\n/* block ( \n */\nfunc f() {\n\tg('(', \"\\\"(\")\n}\n",
     "json": '{"a": [1,\n {"b": "(["},\n 2]\n}\n',
+    "rust": "/* a /* ( */\n [ */\nfn f<'a>(x: &'a str) {\n    g('(', '\\u{28}', \"\\\"(\n{\", r#\"\"(\n\"#);\n}\n",
     "toml": 'a = [1,\n 2]\nb = """text [\n more"""\nc = \'[\'\n',
 }
 
@@ -115,7 +116,7 @@ def test_every_chunk_size_gives_the_same(language):
     text = LONG[language] * 2
     whole = states.balanced(states.summarize(language, text))
     assert whole
-    for broken in (text, text + "\n(" if language in ("python", "go") else text + "\n["):
+    for broken in (text, text + "\n(" if language in ("python", "go", "rust") else text + "\n["):
         want = states.balanced(states.summarize(language, broken))
         for size in range(1, 65):
             total = functools.reduce(states.combine, [states.summarize(language, c) for c in states.chunks(broken, size)])
