@@ -46,7 +46,7 @@ HANDLERS = {
     "python": Handler("module", (("class", "class_definition"),), "function_definition", "function_definition", Handler("").containers | {"block"}, ("#", "@")),
     "javascript": Handler("program", (("class", "class_declaration"),)),
     "typescript": Handler("program", (("class", "class_declaration"), ("interface", "interface_declaration"), ("enum", "enum_declaration"))),
-    "go": Handler("source_file", (("", "type_spec"),), "function_declaration", "method_declaration", above=("//", "/*", "*")),
+    "go": Handler("source_file", (("", "type_declaration"),), "function_declaration", "method_declaration", above=("//", "/*", "*")),
     "rust": Handler("source_file", (("struct", "struct_item"), ("union", "union_item"), ("enum", "enum_item"), ("trait", "trait_item")), "function_item", "function_item"),
     "markdown": Handler("document"),
     "tsx": Handler("program"),
@@ -190,6 +190,8 @@ def definition_nodes(path: str, language: str, text: str) -> tuple[list[tuple],
             kind = next((k for w, k in how.type_kinds if not w or w == word), "type_declaration")
         else:
             kind = how.method if owner else how.function
+            if language in ("javascript", "typescript") and not owner and "function" not in text[d.start : d.head].split("(", 1)[0]:
+                kind = "arrow_function"
         category = "type" if is_type else "callable"
         key = f"{category}:{qualified}"
         shown = f"{qualified}@{first}" if key in seen else qualified

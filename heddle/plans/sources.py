@@ -31,6 +31,18 @@ def definitions(spark: SparkSession, d: str) -> DataFrame:
     return parsing.parse(f.select("file_path", "language", "content").distinct()).select("node_id", "category", "ts_kind", "name", "start_line", "end_line", "parent_node_id", "signature", "is_error")
 
 
+GRAMMARS = ["python", "javascript", "typescript", "go", "rust"]
+
+
+def recorded_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Types, functions and methods that the table records for whole files, as parsing them gives them again."""
+    n = table(spark, d, "code_nodes", "node_id", "file_path", "language", "content", "category", "ts_kind", "truncated").where(F.col("language").isin(GRAMMARS))
+    whole = n.where("category = 'file' and not truncated").select("file_path", "language", "content").distinct()
+    found = parsing.parse(whole).where("category in ('callable', 'type')").select("node_id", "ts_kind", "file_path").distinct()
+    recorded = n.where("category in ('callable', 'type')").select("node_id").distinct()
+    return found.join(recorded, "node_id", "left_semi").select("node_id", "ts_kind", "file_path")
+
+
 def project_markers(spark: SparkSession, d: str) -> DataFrame:
     """Project roots among the real paths and invented marker files beside them."""
     paths = table(spark, d, "code_nodes", "file_path").distinct().select(F.col("file_path").alias("path"))
@@ -77,7 +89,7 @@ def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
     return done.where(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (markdown_sections, python_definitions, definitions, project_markers, change_summary, progress_rates, snapshot_changes, streamed_windows)}
+QUERIES = {f.__name__: f for f in (markdown_sections, python_definitions, definitions, recorded_definitions, project_markers, change_summary, progress_rates, snapshot_changes, streamed_windows)}
 
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
@@ -102,6 +114,8 @@ select dir as path, case when f in ('pyproject.toml', 'setup.py', 'setup.cfg', '
   when f = 'Cargo.toml' then 'rust' when f in ('pom.xml', 'build.gradle', 'build.gradle.kts') then 'java' when f like '%.csproj' or f like '%.sln' then 'dotnet' when f = 'Gemfile' then 'ruby' end as language, min(f) as marker_file
 from m where not regexp_matches('/' || dir || '/', '/([.]venv|venv|[.]env|env|node_modules|[.]git|[.]hg|[.]svn|__pycache__|[.]mypy_cache|[.]pytest_cache|[.]ruff_cache|[.]tox|[.]nox|site-packages|dist|build|[.]eggs|obj|bin)/')
 group by 1, 2 having language is not null""",
+    "recorded_definitions": """select distinct node_id, ts_kind, file_path from code_nodes where category in ('callable', 'type') and language in ('python', 'javascript', 'typescript', 'go', 'rust')
+  and file_path in (select file_path from code_nodes where category = 'file' and not truncated and content is not null)""",
     "progress_rates": """select user_id, event_id as seq, n_done::int as n_done, round(case when span > 0 then (least(n_done, 20) - 1) * 1000000 / span end, 9) as rate
 from (select *, row_number() over w as n_done, epoch_us(ts) - epoch_us(min(ts) over (partition by user_id order by ts, event_id rows between 19 preceding and current row)) as span from events window w as (partition by user_id order by ts, event_id))""",
     "change_summary": "select 'src/f' || user_id || '.py' as path, arg_max(event_type, {'a': ts, 'b': event_id}) as change_type, count(*) as n from events group by 1",

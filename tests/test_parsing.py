@@ -16,8 +16,8 @@ def test_definitions_by_language(spark):
     below = {r.node_id: (r.ts_kind, r.start_line, r.end_line, r.parent_node_id) for r in got if r.category != "file"}
     assert below == {
         "type:a/x.ts:Store": ("class_declaration", 2, 5, "file:a/x.ts"), "callable:a/x.ts:Store.add": ("method_definition", 4, 4, "type:a/x.ts:Store"), "type:a/x.ts:Row": ("interface_declaration", 6, 6, "file:a/x.ts"),
-        "type:a/x.ts:Kind": ("enum_declaration", 7, 7, "file:a/x.ts"), "callable:a/x.ts:load": ("function_declaration", 8, 10, "file:a/x.ts"), "callable:a/x.ts:trim": ("function_declaration", 11, 11, "file:a/x.ts"),
-        "type:a/y.go:Box": ("type_spec", 4, 6, "file:a/y.go"), "callable:a/y.go:Box.Size": ("method_declaration", 9, 12, "type:a/y.go:Box"), "callable:a/y.go:New": ("function_declaration", 14, 14, "file:a/y.go"),
+        "type:a/x.ts:Kind": ("enum_declaration", 7, 7, "file:a/x.ts"), "callable:a/x.ts:load": ("function_declaration", 8, 10, "file:a/x.ts"), "callable:a/x.ts:trim": ("arrow_function", 11, 11, "file:a/x.ts"),
+        "type:a/y.go:Box": ("type_declaration", 4, 6, "file:a/y.go"), "callable:a/y.go:Box.Size": ("method_declaration", 9, 12, "type:a/y.go:Box"), "callable:a/y.go:New": ("function_declaration", 14, 14, "file:a/y.go"),
         "type:a/z.rs:Shape": ("struct_item", 3, 3, "file:a/z.rs"), "type:a/z.rs:Kind": ("enum_item", 4, 4, "file:a/z.rs"), "type:a/z.rs:Area": ("trait_item", 5, 5, "file:a/z.rs"), "callable:a/z.rs:Area.area": ("function_item", 5, 5, "type:a/z.rs:Area"),
         "callable:a/z.rs:Shape.area": ("function_item", 7, 7, "type:a/z.rs:Shape"), "callable:a/z.rs:main": ("function_item", 9, 9, "file:a/z.rs"),
         "type:a/w.js:Queue": ("class_declaration", 1, 3, "file:a/w.js"), "callable:a/w.js:Queue.push": ("method_definition", 2, 2, "type:a/w.js:Queue"), "callable:a/w.js:é": ("function_declaration", 4, 4, "file:a/w.js"), "callable:a/w.js:é@5": ("function_declaration", 5, 5, "file:a/w.js"),
