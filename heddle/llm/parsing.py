@@ -3,11 +3,11 @@
 Lexical stage: a chunk of a file gives a lexer-state map with bracket summaries (see
 ``syntax.states``); the maps of one file are reduced associatively, so the chunks of a
 long file are scanned on different tasks.  Files that end outside code or leave brackets
-open are broken; those that balance are parsed, statement by statement, with the local
-grammar of their language.
+open are broken; those that balance are parsed with the local grammar of their language,
+however deep they nest.
 
-Defined cases: null contents, and languages without a grammar, are not broken; an empty
-file is valid in every language but JSON; a file recorded several times is broken if any
+Defined cases: null contents, and languages without a grammar, are not broken; a file that
+cannot be parsed for want of memory or of PyYAML is an error of the job; an empty file is valid in every language but JSON; a file recorded several times is broken if any
 record is; other columns are ignored.
 """
 
@@ -35,8 +35,9 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if isinstance(r.content, str):
                 language = (r.language or "").lower()
                 text = r.content.replace("\r\n", "\n")
-                if states.states_of(language) and not r.scanned and not states.balanced(states.summarize(language, text)):
-                    reason = "unbalanced"
+                with syntax.deep(text):
+                    if states.states_of(language) and not r.scanned and not states.balanced(states.summarize(language, text)):
+                        reason = "unbalanced"
                 reason = reason or syntax.problem(r.content, language)
             rows.append((r.repo, r.source_file, r.language, reason is not None, reason))
         yield pd.DataFrame(rows, columns=["repo", "source_file", "language", "broken", "reason"])
@@ -56,8 +57,9 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for r in batch.itertuples(index=False):
-            for entry, s in states.summarize(r.language, r.chunk).items():
-                rows.append((r.file_key, r.at, entry, s.exit, s.close, s.open, s.broken))
+            with syntax.deep(r.chunk):
+                maps = states.summarize(r.language, r.chunk)
+            rows += [(r.file_key, r.at, entry, s.exit, s.close, s.open, s.broken) for entry, s in maps.items()]
         yield pd.DataFrame(rows, columns=["file_key", "at", "entry", "exit", "close", "open", "broken"])
 
 

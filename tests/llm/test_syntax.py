@@ -1,11 +1,13 @@
+import ast
 import functools
+import sys
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from heddle import syntax
 from heddle.llm import docpairs, parsing
-from heddle.syntax import states
+from heddle.syntax import Broken, python, states
 
 GOOD = {
     "javascript": ["const a = /x[/]y/g.test(b) ? `t${c + `n${d}`}` : {...e, f() { return 1 }, get g() { return 2 }};\nexport default class extends B { #p = 1; static { this.q = 2 } async *m() { yield* z() } }\nfor await (const [x, {y = 1}] of z) label: for (;;) break label\nlet q = async ({a, b}) => await a?.[0]?.(b) ?? 1", "x = a / b / c\nif (a) b\nelse c\nthrow new E"],
@@ -129,3 +131,53 @@ def test_depth_is_no_error():
     assert syntax.problem(deep + "y = = 2\n", "python") is not None
     assert syntax.problem("[" * 50_000 + "]" * 50_000, "json") is None
     assert syntax.statements("@a\ndef f():\n    x\nif a:\n    b\nelse:\n    c\nd = [\n1]\n") == ["@a\ndef f():\n    x\n", "if a:\n    b\nelse:\n    c\n", "d = [\n1]\n"]
+
+
+DEEP = {
+    "javascript": [("x = ", "(", "1", ")", ";"), ("x = ", "f(", "1", ")", ";"), ("", "if (a) {", "b", "}", ""), ("x = ", "`${", "1", "}`", ";"), ("x = ", "() => ", "1", "", ";")],
+    "typescript": [("let x: ", "Array<", "number", ">", ";"), ("let x: ", "(", "number", ")", ";"), ("x = ", "[", "1", "]", ";")],
+    "go": [("package p\nvar x = ", "f(", "1", ")", "\n"), ("package p\nfunc f() { ", "if a {", "", "}", " }\n"), ("package p\nvar x ", "[]", "int", "", "\n")],
+    "rust": [("fn f() { x = ", "(", "1", ")", "; }"), ("fn f(x: ", "Vec<", "u8", ">", ") {}"), ("fn f() { ", "{", "1", "}", " }")],
+    "python": [("x = ", "(", "1", ")", "\n"), ("x = ", "not ", "1", "", "\n"), ("x = ", "f(a, *", "b", ")", "\n"), ("", "[", "a", "]", " = 1\n"), ("x = ", "1 ** ", "1", "", "\n"), ("x = ", 'f"{', "1", '}"', "\n")],
+    "json": [("", '{"a": [', "1", "]}", ""), ("", "[", "", "]", "")],
+    "toml": [("x = ", "[", "1", "]", "\n"), ("x = ", "{a = ", "1", "}", "\n")],
+    "yaml": [("a: ", "[", "1", "]", "\n"), ("", "- ", "1", "", "\n")],
+}
+
+
+@pytest.mark.parametrize("language", DEEP)
+def test_depth_hides_no_error(language):
+    for before, opener, inner, closer, after in DEEP[language]:
+        for depth in (2, 3_000):
+            text = lambda middle: before + opener * depth + middle + closer * depth + after
+            assert syntax.problem(text(inner), language) is None, (opener, depth)
+            assert syntax.problem(text("'1\"\n" if language == "yaml" else inner + " ? }"), language) is not None, (opener, depth)
+
+
+def test_deep_definitions():
+    text = "x = " + "(" * 3_000 + ")" * 3_000 + "\nclass A(b.B[int]):\n    @c\n    def f(self): \n        'Says ' 'it.'\n        return 1;\n"
+    flat = text.replace("(" * 3_000 + ")" * 3_000, " " * 5_998 + "()")
+    assert syntax.definitions(text, "python") == syntax.definitions(flat, "python")
+    assert syntax.definitions("function f() { return " + "[" * 3_000 + "]" * 3_000 + " }", "javascript")[0].name == "f"
+
+
+def test_no_library_is_no_result(monkeypatch):
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    with pytest.raises(ImportError):
+        syntax.problem("a: [", "yaml")
+
+
+def test_grammar_without_depth():
+    """The parser for deep texts agrees with the interpreter's."""
+
+    def valid(text, parse):
+        try:
+            parse(text)
+            return True
+        except (SyntaxError, Broken):
+            return False
+
+    texts = GOOD["python"] + FORMATTED + [LONG["python"]] + [x for x in BAD["python"] if "int]" not in x]
+    texts += ["a, *b = c = yield d\n", "(a, b): int = 1\n", "(a.b): int\n", "f() = 1\n", "f(a=1, b)\n", "f(**a, *b)\n", "f(x for x in y, z)\n", "def f(a, /, b=1, *, c, **d): pass\n", "def f(a=1, b): pass\n", "def f(*, **k): pass\n", "lambda *a, b=1: (yield)\n"]
+    texts += ["with (a as b, c as d,): pass\n", "with (a), b as (c, d): pass\n", "try: pass\nexcept* A as e: pass\n", "try: pass\nexcept* A: pass\nexcept B: pass\n", "match(x)\n", "match x, y:\n  case [A(1, b=_), *r] | {'k': -1+2j, **z} if q: pass\n", "match x:\n  case A(b=1, 2): pass\n", "x = {1: 2, 3}\n", "x = {**a, 'b': 1}\n", "x = [*a for a in b]\n", "x = 1if a else 2\n", "x = 1_\n", "b'a' 'b'\n", "if a:\n\tb\n        c\n", "if a:\n    b\n  c\n", "del (a, [b.c]), d\n", "del *a\n", "x: int = *a, b\n", "type = 1\n", "from . import (a as b,)\n", "from a import b,\n", "a = b := 1\n", "x = not a == b\n", "x = a == not b\n", "x = '\\x1'\n", "async def f():\n    await a ** -b\n    async for c in d: pass\n"]
+    assert [t for t in texts if valid(t, ast.parse) != valid(t, python.parse)] == []
