@@ -4,9 +4,9 @@ A smoothed character model (hashed trigrams, bigrams and single characters with
 table sizes) is counted over all lines that look undamaged.  Each passage, a run of words
 in a line, is scored under every candidate chain "encode with the wrong codec, decode
 with the right one"; the likeliest is taken if it gains more than a margin that grows
-with the letters it changes and is validated for each kind of chain: on clean lines, on
-the same lines with their letters exchanged as if they were of a language that the corpus
-does not hold, and on garbled copies.  A chain between codecs of one byte a letter has to
+with the letters it changes and is validated for each kind of chain: on all clean lines
+with letters beyond ASCII, on the same lines with their letters exchanged as if they were
+of a language that the corpus does not hold, and on garbled copies of them.  A chain between codecs of one byte a letter has to
 persuade a second judge, who knows no language: the text must lose letters of mixed
 scripts, upper case after lower case and signs inside words, or else read as the corpus
 does around every letter beyond ASCII.
@@ -26,14 +26,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from heddle.session import keep
+
 TRI, BI, UNI = 1 << 20, 1 << 18, 1 << 16
-#: Lines used to validate the margin; the model itself counts every clean record.
-VALIDATION_LINES = 3000
 ROUNDS = 3
 #: Longest bare sequence that counts as quoted, and the marks around it.
 MENTION_CHARS, QUOTES = 8, "\"'`()"
@@ -48,6 +50,8 @@ RARE = 0.05
 #: Letters that a repair must change on a line if only the model, and not the form of the words,
 #: speaks for it; fewer do where the words are about the commonest of the corpus.
 FEW = 3
+#: Digits that count of the support of a word.
+DIGITS = 3
 #: Margins a changed letter that are tried.
 TRIES = [0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0]
 
@@ -271,6 +275,13 @@ def breaks(word: str) -> int:
     return n
 
 
+@lru_cache(maxsize=1 << 17)
+def beyond(word: str) -> tuple[int, bool]:
+    """Number of the characters beyond ASCII, and whether one of them is no letter."""
+    odd = [c for c in word if c > "\x7f"]
+    return len(odd), not all(map(str.isalpha, odd))
+
+
 # ---------------------------------------------------------------- repair of lines
 
 
@@ -402,40 +413,39 @@ class Repairer:
             got = self.words[word] = (utf8, other)
         return got
 
-    def _run(self, order: list[str], k: int) -> dict[str, str]:
+    def _run(self, order: list[str], k: int, forms: dict[str, tuple[list[tuple[str, str]], dict[int, str]]]) -> dict[str, str]:
         """The words of a line that chain k of OTHER changes: the likeliest way to enter and leave garbled runs."""
         score, clean, dirty = self.scores, (0.0, ()), (-SWITCH, ())
         for w in order:
-            new = self._word(w)[1].get(k)
+            new = forms[w][1].get(k)
             gain = score[new][0] - score[w][0] if new is not None else 0.0
             stay, enter = dirty[0], clean[0] - SWITCH
             clean = clean if clean[0] >= dirty[0] - SWITCH else (dirty[0] - SWITCH, dirty[1])
             top = (stay, dirty[1]) if stay >= enter else (enter, clean[1])
             dirty = (top[0] + gain, (*top[1], w) if new is not None else top[1])
         best = max(clean, dirty, key=lambda x: x[0])
-        return {w: self._word(w)[1][k] for w in best[1]}
+        return {w: forms[w][1][k] for w in best[1]}
 
     def _weigh(self, table: dict[str, str], words: Counter) -> Weight:
         """Gain, changed letters, mean support of the restored words, breaks mended on a line,
         letters of different words, and whether signs take part."""
         score = self.scores
         gain = sum((score[n][0] - score[w][0]) * words[w] for w, n in table.items())
-        letters = sum(sum(c > "\x7f" for c in w) * words[w] for w in table)
+        odd = {w: beyond(w) for w in table}
+        letters = sum(n * words[w] for w, (n, _) in odd.items())
         near, n_near = sum(score[n][1] for n in table.values()), sum(score[n][2] for n in table.values())
         mended = sum((breaks(w) - breaks(n)) * words[w] for w, n in table.items())
-        signs = any(c > "\x7f" and not c.isalpha() for w in table for c in w)
-        return Weight(gain, letters, near / n_near if n_near else 0.0, mended, sum(sum(c > "\x7f" for c in w) for w in table), signs)
+        signs = any(sign for _, sign in odd.values())
+        return Weight(gain, letters, near / n_near if n_near else 0.0, mended, sum(n for n, _ in odd.values()), signs)
 
     def proposals(self, lines: list[str]) -> dict[str, list[tuple[str, dict[str, str], Weight]]]:
         """Chains that make each line likelier, with the words they change and their weight."""
         order = {line: [w for w in _WORD.findall(line) if not w.isascii()] for line in lines}
-        texts: set[str] = set()
-        for words in order.values():
-            for w in words:
-                utf8, other = self._word(w)
-                texts.add(w)
-                texts.update(n for _, n in utf8)
-                texts.update(other.values())
+        forms = {w: self._word(w) for w in {w for words in order.values() for w in words}}
+        texts = set(forms)
+        for utf8, other in forms.values():
+            texts.update(n for _, n in utf8)
+            texts.update(other.values())
         self._learn(texts)
         score = self.scores
         out = {}
@@ -443,26 +453,29 @@ class Repairer:
             tables: dict[str, dict[str, str]] = {}
             hopes: Counter = Counter()
             for w in words:
-                utf8, other = self._word(w)
+                utf8, other = forms[w]
                 for read, new in utf8:
                     if score[new][0] > score[w][0]:
                         tables.setdefault(f"utf-8 as {read}", {})[w] = new
                 for k, new in other.items():
                     hopes[k] += max(0.0, score[new][0] - score[w][0])
             for k, hope in hopes.items():
-                if hope > LEAST_GAIN and (table := self._run(words, k)):
+                if hope > LEAST_GAIN and (table := self._run(words, k, forms)):
                     tables[f"{OTHER[k][1]} as {OTHER[k][0]}"] = table
             if tables:
                 counts = Counter(words)
                 out[line] = [(name, table, self._weigh(table, counts)) for name, table in tables.items()]
         return out
 
-    def accepts(self, name: str, weight: Weight) -> bool:
+    def accepts(self, name: str, weight: Weight, margin: float | None = None) -> bool:
+        """Whether what speaks for a chain is enough, at the margin of its kind or a given one."""
         supported = weight.support >= self.margins.floor
         if name.startswith("utf-8 as"):
-            return (weight.signs or weight.mended > 0 or supported) and weight.gain > max(LEAST_GAIN, self.margins.utf8 * weight.letters)
+            least = self.margins.utf8 if margin is None else margin
+            return (weight.signs or weight.mended > 0 or supported) and weight.gain > max(LEAST_GAIN, least * weight.letters)
+        least = self.margins.other if margin is None else margin
         spoken = weight.mended > 0 or (supported and (weight.different >= FEW or weight.support >= self.margins.floor / 2))
-        return spoken and weight.gain > max(LEAST_GAIN + SWITCH, self.margins.other * weight.letters)
+        return spoken and weight.gain > max(LEAST_GAIN + SWITCH, least * weight.letters)
 
     def once(self, lines: list[str]) -> dict[str, Repair]:
         """One step for each line: the likeliest chain among those that gain more than the margin.
@@ -600,46 +613,108 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return table
 
 
-def judge(clean: list[str], model: Model) -> Margins:
+_CHAINS = [(r, "utf-8") for r in UTF8_READ_AS] + OTHER
+_KINDS, _PARTS = ("utf8", "other"), ("clean", "foreign", "bad")
+#: For each kind of chain and part of the lines, how many pass none, the first, the first two ... of TRIES.
+_PASSED = (len(_KINDS), len(_PARTS), len(TRIES) + 1)
+
+
+def turn(line: str) -> int:
+    """The chain that a clean line is garbled by, drawn by its text alone."""
+    return crc32(line.encode("utf-8", "surrogatepass")) % len(_CHAINS)
+
+
+def supports(words: list[str], model: Model) -> np.ndarray:
+    """How words read around their letters beyond ASCII."""
+    got = model.score(words)
+    got = got[got[:, 2] > 0]
+    return np.round(got[:, 1] / got[:, 2], DIGITS)
+
+
+def floor_of(values: np.ndarray, counts: np.ndarray) -> float:
+    """The support that a share of RARE of all words falls short of; values ascend."""
+    if not len(values):
+        return Margins.floor
+    ends = np.cumsum(counts)
+    place = RARE * (int(ends[-1]) - 1)
+    low, high = (float(values[np.searchsorted(ends, int(k), side="right")]) for k in (np.floor(place), np.ceil(place)))
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
+def tally(clean: list[str], repairer: Repairer) -> np.ndarray:
+    """How many of clean lines, of their copies in an unknown language and of their garbled copies pass each margin."""
+    out = np.zeros(_PASSED, "int64")
+    parts: list[list[str]] = [clean, [], []]
+    for x in clean:
+        k = turn(x)
+        if (y := disguise(x, k % 7)) != x:
+            parts[1].append(y)
+        if (y := garble(x, *_CHAINS[k])) and y != x:
+            parts[2].append(y)
+    for p, lines in enumerate(parts):
+        offers = repairer.proposals(lines)
+        for line in lines:
+            passed = [0, 0]
+            for name, _, weight in offers.get(line, ()):
+                kind = 0 if name.startswith("utf-8 as") else 1
+                while passed[kind] < len(TRIES) and repairer.accepts(name, weight, TRIES[passed[kind]]):
+                    passed[kind] += 1
+            for kind, n in enumerate(passed):
+                out[kind, p, n] += 1
+    return out
+
+
+def margins_of(passed: np.ndarray, floor: float) -> Margins:
     """Margins that tell garbled lines best from clean ones, those of unknown languages among them."""
+    hits = passed[:, :, ::-1].cumsum(axis=2)[:, :, ::-1][:, :, 1:]  # lines that pass each of TRIES
+    errors = 3 * (hits[:, 0] + hits[:, 1]) - hits[:, 2]
+    best = [np.flatnonzero(e == e.min()) for e in errors]
+    return Margins(floor=floor, **{kind: TRIES[at[len(at) // 4]] for kind, at in zip(_KINDS, best)})
+
+
+def judge(clean: list[str], model: Model) -> Margins:
+    """The margins by these lines, less those that look damaged."""
     clean = sorted(set(x for x in clean if not suspicious(x)))
     words = sorted({w for x in clean for w in _WORD.findall(x) if not w.isascii()})
-    support = model.score(words)
-    support = support[support[:, 2] > 0]
-    floor = float(np.quantile(support[:, 1] / support[:, 2], RARE)) if len(support) else Margins.floor
-    repairer = Repairer(model, Margins(floor=floor))
-    chains = [(r, "utf-8") for r in UTF8_READ_AS] + OTHER
-    bad = []
-    for k, x in enumerate(clean):
-        g = garble(x, *chains[k % len(chains)])
-        if g and g != x:
-            bad.append(g)
-    foreign = [y for k, x in enumerate(clean) if (y := disguise(x, k % 7)) != x]
-    offers = {name: repairer.proposals(part) for name, part in (("clean", clean), ("foreign", foreign), ("bad", bad))}
-    out = {}
-    for kind in ("utf8", "other"):
-        errors = []
-        for t in TRIES:
-            repairer.margins = Margins(**({"utf8": 1e9, "other": 1e9, "floor": floor} | {kind: t}))
-            hit = {name: sum(any(repairer.accepts(o[0], o[2]) for o in options) for options in part.values()) for name, part in offers.items()}
-            errors.append(3 * (hit["clean"] + hit["foreign"]) - hit["bad"])
-        at = np.flatnonzero(np.array(errors) == min(errors))
-        out[kind] = TRIES[at[len(at) // 4]]
-    return Margins(floor=floor, **out)
-
-
-def validate_margins(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> Margins:
-    """The margins by VALIDATION_LINES different lines with letters beyond ASCII, drawn by hash."""
-    lines = (
-        docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-        .where("length(line) between 8 and 400 and line rlike '[^\\\\x00-\\\\x7f]'")
-        .groupBy("line")
-        .agg(F.xxhash64("line").alias("h"))
-        .orderBy("h")
-        .limit(VALIDATION_LINES)
-        .toPandas()["line"]
-    )
-    return judge(list(lines), Model(table))
+    floor = floor_of(*np.unique(supports(words, model), return_counts=True))
+    return margins_of(tally(clean, Repairer(model, Margins(floor=floor))), floor)
+
+
+def validate_margins(docs: DataFrame, shared: Broadcast, text_col: str = "text") -> Margins:
+    """The margins by all different clean lines with letters beyond ASCII, as :func:`judge` gives them;
+    shared: the count table."""
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lines = [x for x in batch["line"] if not suspicious(x)]
+            yield pd.DataFrame({"line": lines, "turn": [turn(x) for x in lines]})
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"word": sorted({w for x in batch["line"] for w in _WORD.findall(x) if not w.isascii()})})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model(shared.value)
+        for batch in batches:
+            yield pd.DataFrame({"support": supports(list(batch["word"]), model)})
+
+    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).where("line rlike '[^\\\\x00-\\\\x7f]'").distinct()
+    lines = keep(lines.mapInPandas(choose, "line string, turn int"), "clean_lines")
+    # supports are rounded, so their number does not grow with the corpus
+    got = lines.select("line").mapInPandas(words, "word string").distinct().mapInPandas(read, "support double").groupBy("support").count().toPandas().sort_values("support")
+    floor = floor_of(got["support"].to_numpy("float64"), got["count"].to_numpy("int64"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repairer, total = Repairer(Model(shared.value), Margins(floor=floor)), np.zeros(_PASSED, "int64")
+        for part in (list(b["line"].iloc[k : k + 500]) for b in batches for k in range(0, len(b), 500)):
+            total += tally(part, repairer)
+        yield pd.DataFrame({"place": range(total.size), "n": total.ravel()})
+
+    # lines of one chain stand together, as they give the same garbled words
+    rows = lines.sortWithinPartitions("turn").select("line").mapInPandas(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    passed = np.zeros(_PASSED, "int64")
+    passed.ravel()[rows["place"].to_numpy("int64")] = rows["n"].to_numpy("int64")
+    return margins_of(passed, floor)
 
 
 def repair(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margins: Margins | None = None) -> DataFrame:
@@ -649,10 +724,10 @@ def repair(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marg
     used; recoverable is false where characters were lost (U+FFFD).
     """
     table = train(docs, text_col)
-    if margins is None:
-        margins = validate_margins(docs, table, text_col)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(table.astype("uint32"))  # fixed size, about 5 MB
+    if margins is None:
+        margins = validate_margins(docs, shared, text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repairer = Repairer(Model(shared.value), margins)

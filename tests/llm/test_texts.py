@@ -139,6 +139,18 @@ def test_languages_outside_the_corpus_stay():
         assert mojibake.Repairer(model, margins).lines([text]) == {}, lang
 
 
+def test_every_line_counts_for_the_margins(spark):
+    """More lines than were once drawn, in repeated rows of any order and length."""
+    lines = sorted({f"{t} {chr(0xE0 + k % 23)}{k}" for k in range(650) for t in CLEAN.values()}) + ["é", "à" * 500]
+    assert len(lines) > 3_100
+    table = mojibake.count_table(lines)
+    docs = spark.createDataFrame([("\n".join(lines[k : k + 50]),) for k in range(0, len(lines), 50)] * 2 + [(None,), ("",), ("plain",)], "text string")
+    shared = spark.sparkContext.broadcast(table.astype("uint32"))
+    assert mojibake.validate_margins(docs, shared) == mojibake.judge(lines, mojibake.Model(table.astype("uint32")))
+    half = mojibake.judge(lines[::2], mojibake.Model(table.astype("uint32")))
+    assert mojibake.validate_margins(docs.limit(0), shared) == mojibake.judge([], mojibake.Model(table.astype("uint32"))) != half
+
+
 def test_passages_among_intact_signs():
     model, margins = _margins_and_model([f"{t} {k}" for k in range(60) for t in (CLEAN["fr"], "Nous préférons l’étape : c’est plus sûr.", "L’œuvre voilà une étape.")])
     got = mojibake.Repairer(model, margins).lines(["Nous prΘfΘrons l’Θtape : c’est plus s√r.", "Nous prÈfÈrons l’Ètape : c’est plus s˚r."])
